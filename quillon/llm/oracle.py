@@ -91,4 +91,27 @@ counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, t.k AS n FROM
 SELECT doc_id, text, lang, source, n_chars, r.copy::INTEGER AS copy, md5('42:s:' || coalesce(doc_id::VARCHAR, 'null') || ':' || r.copy) AS shuffle_key
 FROM counted, unnest(range(n)) AS r(copy)"""
 
-ORACLES: dict[str, str] = {"op3_secret_scans": OP3, "op4_mixing": OP4, "op5_personal_data": OP5}
+#: Base 32 of a SHA-1 from its hex digits: 5 of them are 4 characters.
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex FROM p),
+b AS (SELECT page_id, payload_bytes, array_to_string(flatten(list_transform(range(0, 8), lambda i: list_transform(range(0, 4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT >> (15 - 5 * j)) & 31)::INT, 1)))), '') AS payload_digest FROM d),
+f AS (SELECT payload_digest, max(page_id) AS first FROM b GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b JOIN f USING (payload_digest)"""
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP10 = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE len({_WORDS}) > 0),
+q AS (SELECT DISTINCT item, least(10, len(w)) AS n, w[k:k + least(10, len(w)) - 1] AS g FROM b, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS r(k)),
+s AS (SELECT DISTINCT n FROM q),
+g AS (SELECT doc_id, k, n, w[k:k + n - 1] AS g FROM d, s, unnest(range(1, len(w) - n + 2)) AS r(k)),
+m AS (SELECT g.doc_id, g.k, g.n, q.item FROM g JOIN q ON g.n = q.n AND g.g = q.g),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, unnest(range(k, k + n)) AS r(p) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_secret_scans": OP3, "op4_mixing": OP4, "op5_personal_data": OP5, "op10_decontamination": OP10}

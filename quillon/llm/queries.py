@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, pii, secrets, tiff
+from quillon.llm import decontaminate, mixing, pii, secrets, simhash, tiff, warc
 from quillon.llm import spans as S
 from quillon.llm.common import materialize, shared_dir
 
@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = shared_dir(spark)
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), f"{where}/warc", where)
+    index = materialize(warc.build_index(archives), f"{where}/index")
+    read = materialize(warc.read_records(index).drop("payload"), f"{where}/read")
+    return warc.resolve(read).select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), shared_dir(spark))
     base = [r.kind for r in secrets.BASE]
@@ -69,9 +77,30 @@ def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shared_dir(spark), size=3, threshold=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared_dir(spark), window=10)
+    n_hit = F.size("hits").cast("long")
+    return hits.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op3_secret_scans": op3_secret_scans,
     "op4_mixing": op4_mixing,
     "op5_personal_data": op5_personal_data,
     "op6_tiff": op6_tiff,
+    "op8_simhash": op8_simhash,
+    "op10_decontamination": op10_decontamination,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, mixing, pii, secrets, simhash, tiff, warc
+from quillon.llm import decontaminate, mixing, pii, secrets, simhash, suffix, tiff, warc
 from quillon.llm import spans as S
 from quillon.llm.common import materialize, shared_dir
 
@@ -82,6 +82,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(table(spark, sf_dir, "documents"), shared_dir(spark))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared_dir(spark), window=10)
     n_hit = F.size("hits").cast("long")
@@ -102,5 +106,6 @@ QUERIES: dict[str, Query] = {
     "op5_personal_data": op5_personal_data,
     "op6_tiff": op6_tiff,
     "op8_simhash": op8_simhash,
+    "op9_suffix_array": op9_suffix_array,
     "op10_decontamination": op10_decontamination,
 }

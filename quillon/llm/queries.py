@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, mixing, pii, secrets, simhash, suffix, tiff, warc
+from quillon.llm import decontaminate, lines, mixing, pii, secrets, simhash, suffix, tiff, warc
 from quillon.llm import spans as S
 from quillon.llm.common import materialize, shared_dir
 
@@ -77,6 +77,11 @@ def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicate_lines(table(spark, sf_dir, "documents"), shared_dir(spark))
+    return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), "text")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shared_dir(spark), size=3, threshold=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op5_personal_data": op5_personal_data,
     "op6_tiff": op6_tiff,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_suffix_array": op9_suffix_array,
     "op10_decontamination": op10_decontamination,

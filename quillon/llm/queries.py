@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, lines, mixing, pii, secrets, simhash, suffix, tiff, warc
+from quillon.llm import decontaminate, lines, mixing, pii, quality, secrets, simhash, suffix, tiff, warc
 from quillon.llm import spans as S
 from quillon.llm.common import materialize, shared_dir
 
@@ -26,6 +26,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(read).select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "text_score", "meta_score", "score", "keep")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), shared_dir(spark))
     base = [r.kind for r in secrets.BASE]
@@ -106,6 +111,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scans": op3_secret_scans,
     "op4_mixing": op4_mixing,
     "op5_personal_data": op5_personal_data,

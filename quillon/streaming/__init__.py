@@ -1,0 +1 @@
+"""No streaming: the engine this one is measured against has none, and its SQL has no stream type."""

@@ -23,7 +23,7 @@ def read_reply(stream: BinaryIO) -> object:
     if mark == b"+":
         return rest
     if mark == b"-":
-        return ServerError(rest)
+        return ServerError(rest.removeprefix("ERR "))
     if mark == b":":
         return int(rest)
     if mark == b"$":

@@ -33,13 +33,13 @@ def uniform(seed: int, *columns: Column) -> Column:
 def poisson_inverse(u: Column, rate: Column) -> Column:
     """The smallest k whose distribution function is over ``u``.
 
-    Terms are added one by one up to a k that no 52-bit uniform number can pass, so the result is
-    exact to rounding. ``rate`` is at most ``MAX_RATE``, where exp(-rate) is still a normal double.
+    Terms are added one by one until they no longer change the sum, well before a k that no 52-bit
+    uniform number can pass, so the result is exact to rounding. ``rate`` is at most ``MAX_RATE``, where exp(-rate) is still a normal double.
     """
     most = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
     term = lambda a, i: a["p"] * rate / i
-    step = lambda a, i: F.when(a["c"] >= u, a).otherwise(F.struct(term(a, i).alias("p"), (a["c"] + term(a, i)).alias("c"), i.alias("k")))
+    step = lambda a, i: F.when((a["c"] >= u) | ((i > rate) & (a["c"] + term(a, i) == a["c"])), a).otherwise(F.struct(term(a, i).alias("p"), (a["c"] + term(a, i)).alias("c"), i.alias("k")))
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["k"])).otherwise(F.lit(0))
 
 

@@ -1,0 +1,320 @@
+"""SimHash, suffix array, lines and decontamination against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from quillon.llm import common, decontaminate, lines, simhash, suffix
+
+
+def components(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    nodes = list(nodes)
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if linked(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def test_components_of_chains_and_stars(spark, where):
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(7, 1000 + k) for k in range(80)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(3, 3), (-5, 4)]
+    got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "u long, v long"), where).collect()}
+    links = {frozenset(e) for e in edges}
+    want = components(sorted({n for e in edges for n in e}), lambda a, b: frozenset((a, b)) in links)
+    assert got == {n: r for n, r in want.items() if n != r}
+    assert common.connected_components(spark.createDataFrame([], "u long, v long"), where + "0").collect() == []
+
+
+# SimHash
+
+def plain_fingerprint(text, size=3):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", low) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints():
+    for t in (None, "", "  ", "A b", "one two three", "Eins ZWEI drei\x0bvier ÄÖ fünf sechs " * 50, "x " * 40000):
+        assert simhash.fingerprint(simhash.shingle_hashes(t, 3)) == plain_fingerprint(t) or len(t or "") > 50000
+    assert simhash.fingerprint(simhash.shingle_hashes("a b c d", 5)) == plain_fingerprint("a b c d", 5)
+
+
+def test_golay_cosets_and_anchors():
+    code = simhash.Cosets(2)
+    words = np.arange(1 << 12, dtype=np.int64) << 11
+    codewords = words ^ simhash._remainders(words)
+    weights = np.bitwise_count(codewords)
+    assert sorted(set(weights.tolist())) == [0, 7, 8, 11, 12, 15, 16, 23]
+    rng = np.random.default_rng(1)
+    fps = rng.integers(-(2**62), 2**62, 20)
+    row, home = simhash.anchors(fps, code, 0)
+    assert row.tolist() == list(range(20))
+    all_rows, visited = simhash.anchors(fps, code, 2)
+    for k in range(20):
+        got = set(visited[all_rows == k].tolist())
+        lo, hi = int(fps[k]) & (2**23 - 1), int(fps[k]) >> 23 & (2**23 - 1)
+        d = [np.maximum(np.bitwise_count(codewords ^ w).astype(int) - 3, 0) for w in (lo, hi)]
+        want = {int(codewords[i]) | int(codewords[j]) << 23 for i in np.flatnonzero(d[0] <= 2) for j in np.flatnonzero(d[1] <= 2 - d[0][i])}
+        assert got == want and int(home[k]) in got
+
+
+@pytest.mark.parametrize(("cell", "threshold"), [(32, 2), (1, 2), (0, 2), (0, 1), (32, 1), (32, 0)])
+def test_links_hold_all_pairs(spark, where, cell, threshold):
+    rng = random.Random(9)
+    fps = {0}
+    for _ in range(12):
+        c = rng.getrandbits(64)
+        for _ in range(25):
+            x = c
+            for b in rng.sample(range(64), rng.randrange(5)):
+                x ^= 1 << b
+            fps.add(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    edges = simhash.link(spark.createDataFrame([(x,) for x in signed], "fp long"), where, threshold, cell)
+    got = {x: x for x in signed} | {r["node"]: r["root"] for r in common.connected_components(edges, where + "/c").collect()}
+    assert got == components(sorted(signed), lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= threshold)
+
+
+def test_near_duplicates_of_documents(spark, docs_of, where):
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 400))]
+        for j in range(rng.choice([1, 1, 3])):
+            words = list(base)
+            if j:
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((1000 - len(rows), " ".join(words)))
+    rows += [(5, ""), (9, None), (7, " \n"), (2000, rows[0][1]), (2000, rows[0][1])]
+    got = sorted(map(tuple, simhash.near_duplicates(docs_of(rows), where).select("doc_id", "component_id").collect()))
+    fp = {d: plain_fingerprint(t) for d, t in rows}
+    root = components(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
+    assert got == sorted((d, root[d]) for d, _ in rows) and any(a != b for a, b in got)
+
+
+def test_near_duplicates_of_odd_and_no_documents(odd_docs, no_docs, where):
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd_docs, where).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (2, 1), (6, 1), (None, None), (3, 3), (4, 4), (4, 4), (5, 5), (7, 7)], key=str)
+    assert simhash.near_duplicates(no_docs, where + "0").collect() == []
+
+
+# suffix array
+
+def plain_repeats(rows, length=50):
+    raw = [(d, (t or "").encode()) for d, t in rows]
+    first = {}
+    for d, b in raw:
+        for i in range(len(b) - length + 1):
+            g = b[i : i + length]
+            if d is not None:
+                first[g] = min(d, first.get(g, d))
+    out = []
+    for d, b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            f = first.get(b[i : i + length])
+            if f is not None and (d is None or f < d):
+                gone[i : i + length] = b"\1" * length
+        spans = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def repeated_texts(seed):
+    rng = random.Random(seed)
+    passages = ["".join(rng.choice("ab é") for _ in range(rng.randint(40, 130))) for _ in range(12)]
+    noise = lambda: "".join(rng.choice("xyz ") for _ in range(rng.randint(1, 60)))
+    rows = [(k * 7 % 101, "".join(rng.choice(passages) if rng.random() < 0.6 else noise() for _ in range(rng.randint(1, 6)))) for k in range(101)]
+    return rows + [(200, "a" * 3000), (201, "a" * 200 + "b"), (202, ""), (203, None), (204, "a" * 49), (205, "ab" * 400), (300, "z" * 60), (300, "z" * 60), (301, rows[0][1]), (None, rows[1][1] + "tail")]
+
+
+@pytest.mark.parametrize(("chunk", "bucket"), [(1 << 11, 60), (1 << 22, 10**6)])
+def test_suffix_array_matches_brute_force(docs_of, where, monkeypatch, chunk, bucket):
+    monkeypatch.setattr(suffix, "CHUNK", chunk)
+    monkeypatch.setattr(suffix, "BUCKET_ROWS", bucket)
+    rows = repeated_texts(chunk)
+    got = sorted(map(tuple, suffix.deduplicate(docs_of(rows), where).collect()), key=str)
+    assert got == plain_repeats(rows)
+
+
+def test_suffix_array_kept_text_and_odd_input(odd_docs, no_docs, docs_of, where):
+    import zstandard
+
+    base = "".join(random.Random(1).choice("abcdefgh ") for _ in range(100))
+    out = {r["doc_id"]: r for r in suffix.deduplicate(docs_of([(1, base), (2, "head " + base + " end")]), where, keep_text=True).collect()}
+    assert zstandard.ZstdDecompressor().decompress(out[2]["kept"]) == b"head  end" and out[2]["n_spans"] == 1
+    assert suffix.deduplicate(odd_docs, where + "1").count() == 10
+    assert suffix.deduplicate(no_docs, where + "0").collect() == []
+
+
+def test_anchors_do_not_depend_on_segments(monkeypatch):
+    b = np.frombuffer(random.Random(3).randbytes(5000), np.uint8) % 7
+    whole = suffix.anchors(b)
+    monkeypatch.setattr(suffix, "SEGMENT", 333)
+    parts = suffix.anchors(b)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+    at = set(whole[0].tolist())
+    assert all(any(p + k in at for k in range(suffix.LENGTH - suffix.GRAM + 1)) for p in range(len(b) - suffix.LENGTH + 1))
+
+
+def test_multikey_sort():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 3, (400, 21), dtype=np.uint8)
+    order = suffix.multikey_sort(rows)
+    ranked = [rows[k].tobytes() for k in order]
+    assert ranked == sorted(r.tobytes() for r in rows)
+    shared = suffix.common_prefixes(rows, order)
+    for k in range(1, 400):
+        a, b = ranked[k - 1], ranked[k]
+        assert shared[k] == next((i for i in range(21) if a[i] != b[i]), 21)
+
+
+# lines
+
+def plain_lines(rows, min_words=5, similarity=0.8):
+    import re
+
+    def words(line):
+        return [w for w in re.split(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+", line.lower()) if w]
+
+    def keys(ws):
+        bits, weights = [0] * 64, [min(7, len(w) - 3) for w in ws if len(w) > 3]
+        for w in ws:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+            for b in range(64):
+                bits[b] += max(0, min(7, len(w) - 3)) * (h >> b & 1)
+        blocks = [sum(1 << b for b in range(16) if 2 * bits[16 * k + b] > sum(weights)) for k in range(4)]
+        return {(i, j, blocks[i], blocks[j]) for i in range(4) for j in range(i)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    spots = {}
+    for k, (d, t) in enumerate(rows):
+        for at, line in enumerate((t or "").split("\n")):
+            ws = words(line)
+            if len(ws) >= min_words and max(map(len, ws)) > 3:
+                spots.setdefault(" ".join(ws), []).append(((d is None, d or 0, k, at), (k, at)))
+    prints = {w: keys(w.split()) for w in spots}
+
+    def linked(a, b):
+        a_words, b_words = a.split(), b.split()
+        n = max(len(a_words), len(b_words))
+        return bool(prints[a] & prints[b]) and distance(a_words, b_words) <= int(n * (1 - similarity) + 1e-9)
+
+    root = components(sorted(spots), linked)
+    groups = {}
+    for w, places in spots.items():
+        groups.setdefault(root[w], []).extend(places)
+    gone = {p for places in groups.values() for _, p in sorted(places)[1:]}
+    return ["\n".join(x for at, x in enumerate(t.split("\n")) if (k, at) not in gone) if t is not None else None for k, (_, t) in enumerate(rows)], len(gone), sum(a != b for a, b in root.items())
+
+
+def test_lines_match_brute_force(docs_of, where):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdeßé") for _ in range(rng.randint(2, 10))) for _ in range(150)]
+    pool = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 60))) for _ in range(50)]
+    family = "this long license line " + " ".join(rng.choice(vocabulary) for _ in range(60))
+    rows = []
+    for d in range(80):
+        made = []
+        for _ in range(rng.randint(1, 5)):
+            line = rng.choice(pool)
+            if rng.random() < 0.4:
+                ws = line.split()
+                ws[rng.randrange(len(ws))] = rng.choice(vocabulary)
+                line = " ".join(ws)
+            made.append(rng.choice([line, line.upper(), line + f", {d}!", "  " + line.replace(" ", " - ")]))
+        ws = family.split()
+        ws[rng.randrange(5, len(ws))] = rng.choice(vocabulary)
+        rows.append((d, "\n".join([*made, " ".join(ws), "", "short line"])))
+    rows += [(500, "word " * 300 + "\n" + "word " * 300), (503, "longer words " * 3000 + "\n" + "longer words " * 2900), (504, "a b c d e f\na b c d e f"), (501, ""), (502, None), (None, pool[0]), (79, rows[79][1])]
+    want, n_gone, n_fuzzy = plain_lines(rows)
+    out = lines.deduplicate_lines(docs_of(rows).coalesce(1), where)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "keep", "n_lines", "n_removed"]
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted(((d, t) for (d, _), t in zip(rows, want, strict=True)), key=str)
+    assert out.groupBy().sum("n_removed").first()[0] == n_gone and n_fuzzy > 50
+
+
+def test_lines_of_odd_and_no_documents(odd_docs, no_docs, where):
+    rows = lines.deduplicate_lines(odd_docs, where).collect()
+    assert len(rows) == 10 and all(r["n_removed"] == 0 for r in rows)
+    assert lines.deduplicate_lines(no_docs, where + "0").collect() == []
+
+
+# decontamination
+
+def plain_hits(rows, items, window=10, slop=0):
+    import re
+
+    def words(t):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+
+    windows = {}
+    for name, t in items:
+        ws = words(t)
+        for k in range(max(1, len(ws) - window + 1)):
+            if ws:
+                windows.setdefault(tuple(ws[k : k + window]), set()).add(str(name) if name is not None else "null")
+    out = []
+    for d, t in rows:
+        ws, hit, found = words(t), set(), set()
+        for w, names in windows.items():
+            for p in range(len(ws) - len(w) + 1):
+                if tuple(ws[p : p + len(w)]) == w:
+                    hit |= set(range(p, p + len(w)))
+                    found |= names
+        out.append((d, len(ws), sorted(hit), sorted(found)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("most", "block"), [(500_000, 1 << 22), (40, 300)])
+def test_decontamination_matches_brute_force(spark, docs_of, where, monkeypatch, most, block):
+    monkeypatch.setattr(decontaminate.build_index, "__defaults__", (None, block))
+    rng = random.Random(6)
+    vocabulary = ["the", "the", "of", "Über", "a1", "x", "é", "b", "c", "d"]
+    text = lambda n: rng.choice([" ", "-", ", ", "_"]).join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, text(rng.choice([3, 9, 10, 11, 14]))) for k in range(12)] + [(3, text(12)), (99, ""), (98, None), (None, text(10)), (97, "...")]
+    rows = [(k, text(rng.randrange(5, 60)) + " " + (rng.choice(items)[1] or "").upper() + " " + text(5)) for k in range(60)] + [(100, None), (101, ""), (None, items[0][1]), (7, items[1][1]), (7, items[1][1]), (8, "the " * 500)]
+    out = decontaminate.decontaminate(docs_of(rows), spark.createDataFrame(items, "item_id long, text string"), where, most=most)
+    got = sorted(((r["doc_id"], r["n_words"], sorted(r["hits"]), sorted(r["items"])) for r in out.collect()), key=str)
+    assert got == plain_hits(rows, items)
+
+
+def test_proximity(spark, docs_of, where):
+    bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    docs = docs_of([(1, "one two extra three four five"), (2, "one two three"), (3, "one two three four five"), (4, "one x x x x two x x x x three x x x x four x x x five")])
+    near = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(docs, bench, where, window=5, slop=1).collect()}
+    assert near == {1: ["1"], 2: [], 3: ["1"], 4: []}
+
+
+def test_decontamination_of_odd_and_no_documents(spark, odd_docs, no_docs, where):
+    bench = spark.createDataFrame([(1, "w " * 10), (2, "some text")], "item_id long, text string")
+    rows = {(r["doc_id"], len(r["hits"])) for r in decontaminate.decontaminate(odd_docs, bench, where).collect()}
+    assert rows == {(1, 0), (2, 0), (None, 2), (3, 0), (4, 9000), (5, 0), (6, 0), (7, 0)}
+    assert decontaminate.decontaminate(no_docs, bench, where + "0").collect() == []
+    assert all(not r["hits"] for r in decontaminate.decontaminate(odd_docs, bench.limit(0), where + "1").collect())

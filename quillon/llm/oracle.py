@@ -57,7 +57,7 @@ _MOD97 = f"""list_reduce(list_prepend(0, list_transform(range(1, length({_TURNED
   lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1"""
 _CONTEXT = {
     "email": (0, "e-?mail|contact|write|correo|courriel|kontakt"),
-    "ip": (0, r"\bip\b|address|host|server|login"),
+    "ip": (0, "ip:|ip address|host|server|login"),
     "card": (0, "card|visa|credit|payment|karte|tarjeta|carte"),
     "phone": (0, "phone|call|tel|mobile|fax|telefon"),
     "iban": (0, "iban|account|bank|konto|cuenta|compte"),

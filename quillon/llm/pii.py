@@ -93,7 +93,7 @@ def _iban(m: Column) -> Column:
 #: faster; a match may start inside a run only where the match before it ended (``\G``).
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), 0.6, r"(?i)e-?mail|contact|write|correo|courriel|kontakt", "@"),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip, 0.5, r"(?i)\bip\b|address|host|server|login", "."),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip, 0.5, r"(?i)ip:|ip address|host|server|login", "."),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9]){15,}+", _card, 0.7, r"(?i)card|visa|credit|payment|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.5, r"(?i)phone|call|tel|mobile|fax|telefon", "+"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+", _iban, 0.7, r"(?i)iban|account|bank|konto|cuenta|compte", bounded=True),

@@ -6,6 +6,7 @@ row groups by their statistics; ``bulk_load`` writes by key to make those ranges
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,11 +46,12 @@ def empty_scan(df: DataFrame) -> DataFrame:
 def keyed_append(df: DataFrame, target: str, key: str) -> None:
     """Append rows to a Parquet folder whose ``key`` is unique; a repeated key raises and writes nothing."""
     twice = df.groupBy(key).count().where("count > 1").select(key)
-    spark = df.sparkSession
-    old = spark.read.schema(df.schema).option("pathGlobFilter", "*.parquet")
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        twice = twice.union(df.select(key).join(old.parquet(target).select(key), key, "left_semi"))
+    try:
+        stored = df.sparkSession.read.schema(df.schema).parquet(target)
+        twice = twice.union(df.select(key).join(stored.select(key), key, "left_semi"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     clash = twice.take(1)
     if clash:
         raise DuplicateKey(clash[0][0])

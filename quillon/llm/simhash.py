@@ -151,7 +151,7 @@ def crowd_links(fps: DataFrame, threshold: int) -> DataFrame:
     masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in range(64)])
     near = fps.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("word"))
     if threshold < 2:
-        met = near.join(fps.select(F.col("fp").alias("word")), "word").select(F.col("fp").alias("u"), F.col("word").alias("v"))
+        met = near.hint("merge").join(fps.select(F.col("fp").alias("word")), "word").select(F.col("fp").alias("u"), F.col("word").alias("v"))
         return met.where((F.col("u") > F.col("v")) & (differing_bits("u", "v") <= threshold))
     cell = near.groupBy("word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return cell.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).where("u <> v").distinct()
@@ -168,7 +168,8 @@ def link(fps: DataFrame, where: str, threshold: int = 2, cell: int = CELL) -> Da
     cells = materialize(cells.unionByName(hot), f"{where}/cells")
     visits = _covered(fps, threshold).withColumnRenamed("fp", "y")
     close = F.col("x").isNull() | ((differing_bits("x", "y") <= threshold) & (F.col("x") < F.col("y")))
-    met = materialize(visits.join(cells, "anchor").where(close).select("x", "y").distinct(), f"{where}/met")
+    # Spark estimates the visits by their fingerprints, 61 times too few, and would send them to the driver to broadcast
+    met = materialize(visits.hint("merge").join(cells, "anchor").where(close).select("x", "y").distinct(), f"{where}/met")
     edges = met.where("x is not null").select(F.col("y").alias("u"), F.col("x").alias("v"))
     return edges.unionByName(crowd_links(met.where("x is null").select(F.col("y").alias("fp")), threshold))
 

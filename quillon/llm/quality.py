@@ -92,20 +92,21 @@ class Logistic:
     def margin(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         if not rows:
             return np.zeros(0)
-        flat = np.concatenate([h for h, _ in rows])
-        sizes = np.array([len(h) for h, _ in rows])
-        ends = np.concatenate([[0], np.cumsum(self.w[flat])])
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        return ends[at[1:]] - ends[at[:-1]] + np.stack([d for _, d in rows]) @ self.v
+        return np.array([self.w[h].sum() for h, _ in rows]) + np.stack([d for _, d in rows]) @ self.v
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> Logistic:
         """Full-batch Adam from zero, on features that at least four documents have and whose share of good ones differs from the overall share by ``Z`` standard errors."""
-        flat = np.concatenate([h for h, _ in rows])
-        row = np.repeat(np.arange(len(rows)), [len(h) for h, _ in rows])
-        n, ones, share = np.bincount(flat, minlength=DIM), np.bincount(flat, y[row], DIM), y.mean()
-        keep = ((n >= 4) & (np.abs(ones - n * share) >= Z * np.sqrt(np.maximum(n, 1) * share * (1 - share))))[flat]
-        used, flat = np.unique(flat[keep], return_inverse=True)
-        row, dense = row[keep], np.stack([d for _, d in rows])
+        n, ones, share = np.zeros(DIM), np.zeros(DIM), y.mean()
+        for k in range(0, len(rows), 256):
+            part = rows[k : k + 256]
+            at = np.concatenate([h for h, _ in part])
+            n += np.bincount(at, minlength=DIM)
+            ones += np.bincount(at, np.repeat(y[k : k + 256], [len(h) for h, _ in part]), DIM)
+        keep = (n >= 4) & (np.abs(ones - n * share) >= Z * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
+        chosen = [h[keep[h]] for h, _ in rows]
+        row = np.repeat(np.arange(len(rows)), [len(h) for h in chosen])
+        used, flat = np.unique(np.concatenate(chosen), return_inverse=True)
+        dense = np.stack([d for _, d in rows])
         weight = weight / weight.sum()
         theta = np.zeros(len(used) + dense.shape[1])
         m, s = np.zeros_like(theta), np.zeros_like(theta)
@@ -228,7 +229,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     # the chosen ids are at most max_labelled + max_unlabelled rows
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars")
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("y int, hashed binary, style binary, meta binary").fields])
-    got = rows.mapInArrow(run, schema).toArrow().sort_by("doc_id").to_pydict()
+    table = rows.mapInArrow(run, schema).toArrow().sort_by("doc_id")
+    got = {c: table[c].to_pylist() for c in table.column_names}
+    del table
     # one row per document: repeated rows of an id add nothing but room
     first = {d: k for k, d in reversed(list(enumerate(got["doc_id"])))}
     at = sorted(first.values())

@@ -12,7 +12,9 @@ smaller id. All suffixes would be a hundred times the input, so the array is spa
   into chunks of about ``CHUNK`` bytes, as a bucketed table that later passes join without a shuffle.
 * Grams that only one text holds are excluded by their hashes, packed per chunk and hash range,
   before any suffix is sent. Equal suffixes of a chunk are sent once, with the least and largest id.
-* Sampled splitters range-partition the suffixes by their first GRAM bytes; equal leading bytes
+* Sampled splitters range-partition the suffixes by their first GRAM bytes; grams that the sample finds
+  in more than ``BUCKET_ROWS`` suffixes go apart, there equal suffixes of all chunks become one, by partial
+  aggregation, before a gram's are compared, and the runs are joined back. Equal leading bytes
   never straddle a boundary, so neighbours across a boundary share less than a gram and no
   string. Each bucket is sorted by multikey quicksort, 8 bytes at a time and only within ties; the
   common prefixes of neighbours, to the right and, from a second sort, to the left, give for each
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +44,10 @@ from quillon.llm.common import materialize
 LENGTH, GRAM = 50, 24
 CHUNK = 6 << 20
 PART_BYTES = 16 << 20
+MIN_PART_BITS = 8
 BUCKET_ROWS = 100_000
 SEGMENT = 1 << 20
+THIN = 64
 LAST = (1 << 63) - 1
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -205,13 +210,13 @@ def _chunk(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return _unpacked(table["blob"].to_pylist()), table["doc"].to_numpy()
 
 
-def _suffixes(texts: DataFrame, flags: DataFrame, part_bits: int, splitters: list[bytes] | None, thin: int = 1) -> DataFrame:
-    """``SUFFIX`` rows; without splitters a sample of one in ``thin``."""
-    shared = texts.sparkSession.sparkContext.broadcast(splitters or [])
+def _suffixes(texts: DataFrame, flags: DataFrame, part_bits: int, splitters: list[bytes], hot: list[bytes], thin: int = 1) -> DataFrame:
+    """``SUFFIX`` rows, or a sample of one in ``thin``; the bucket of ``hot`` grams is -1."""
+    shared = texts.sparkSession.sparkContext.broadcast((splitters, hot))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in SUFFIX.split(", ")]
-        cuts = np.array(shared.value, f"S{GRAM}")
+        cuts, apart = (np.array(x, f"S{GRAM}") for x in shared.value)
         if not left.num_rows:
             s = None
         else:
@@ -219,7 +224,7 @@ def _suffixes(texts: DataFrame, flags: DataFrame, part_bits: int, splitters: lis
         rows = s.rows[::thin] if s else np.empty((0, 78), np.uint8)
         n = len(rows)
         key = np.ascontiguousarray(rows[:, LENGTH - GRAM : LENGTH]).view(f"S{GRAM}").ravel() if n else np.empty(0, f"S{GRAM}")
-        bucket = np.searchsorted(cuts, key, side="right").astype(np.int32)
+        bucket = np.where(np.isin(key, apart), -1, np.searchsorted(cuts, key, side="right")).astype(np.int32)
         width = rows.shape[1]
         context = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
         chunk = left["chunk"][0].as_py() if left.num_rows else 0
@@ -308,6 +313,17 @@ def _compare(suffixes: DataFrame) -> DataFrame:
     return suffixes.groupBy("bucket").applyInArrow(run, RUN)
 
 
+def _compare_hot(suffixes: DataFrame, where: str) -> DataFrame:
+    """Runs of suffixes with hot grams: equal ones are compared once, whatever chunks they are in."""
+    rows = materialize(suffixes, f"{where}/hot")
+    one = rows.groupBy("context").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    one = materialize(one.withColumn("chunk", F.monotonically_increasing_id()), f"{where}/contexts")
+    gram = F.substring("context", LENGTH - GRAM + 1, GRAM)
+    runs = _compare(one.select(gram.alias("bucket"), "chunk", F.lit(0).alias("number"), "context", "least", "most"))
+    runs = materialize(runs.drop("number").join(one.select("chunk", "context"), "chunk").drop("chunk"), f"{where}/hotruns")
+    return rows.join(runs, "context").where("doc < most").select("chunk", "number", "low", "high", "doc")
+
+
 RESULT = "sha binary, first long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -363,7 +379,7 @@ def deduplicate(docs: DataFrame, where: str, keep_text: bool = False) -> DataFra
     base = materialize(base, f"{where}/base")
     total = base.agg(F.sum("n_bytes")).first()[0] or 0
     chunks = max(1, -(-total // CHUNK))
-    part_bits = min(24, max(4, int(total // PART_BYTES).bit_length()))
+    part_bits = min(24, max(MIN_PART_BITS, int(total // PART_BYTES).bit_length()))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"quillon_texts_{uuid.uuid4().hex}"
     packed = _packed_texts(docs).withColumn("chunk", F.pmod(F.xxhash64("sha"), F.lit(chunks))).repartition(buckets, "chunk")
@@ -374,11 +390,18 @@ def deduplicate(docs: DataFrame, where: str, keep_text: bool = False) -> DataFra
         flags = materialize(_repeated(_prefilter(texts, part_bits)), f"{where}/flags")
         # a bounded sample of leading bytes: all chunks up to 64 of them, then 64, each thinned out
         step = max(1, chunks // 64)
-        sample = _suffixes(texts.where(f"chunk % {step} = 0"), flags.where(f"chunk % {step} = 0"), part_bits, None, thin=64)
-        keys = sorted(bytes(r[0]) for r in sample.select(F.substring("context", LENGTH - GRAM + 1, GRAM)).collect())
-        n = max(1, min(len(keys), len(keys) * 64 * step // BUCKET_ROWS + 1, 20_000))
+        some = f"chunk % {step} = 0"
+        sample = _suffixes(texts.where(some), flags.where(some), part_bits, [], [], thin=THIN)
+        counts = Counter(bytes(r[0]) for r in sample.select(F.substring("context", LENGTH - GRAM + 1, GRAM)).collect())
+        hot = [k for k, c in counts.items() if c * THIN * step > BUCKET_ROWS]
+        keys = sorted(counts.elements())
+        n = max(1, min(len(keys), len(keys) * THIN * step // BUCKET_ROWS + 1, 20_000))
         splitters = sorted({keys[len(keys) * k // n] for k in range(1, n)})
-        runs = materialize(_compare(_suffixes(texts, flags, part_bits, splitters)), f"{where}/runs")
+        suffixes = _suffixes(texts, flags, part_bits, splitters, hot)
+        runs = _compare(suffixes.where("bucket >= 0"))
+        if hot:
+            runs = runs.unionByName(_compare_hot(suffixes.where("bucket < 0"), where))
+        runs = materialize(runs, f"{where}/runs")
         marks = flags.select("chunk", "part", "grams", F.lit(None).cast("int").alias("number"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"), F.lit(None).cast("long").alias("doc")).unionByName(
             runs.select("chunk", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("grams"), "number", "low", "high", "doc")
         )

@@ -145,9 +145,11 @@ def repeated_texts(seed):
     return rows + [(200, "a" * 3000), (201, "a" * 200 + "b"), (202, ""), (203, None), (204, "a" * 49), (205, "ab" * 400), (300, "z" * 60), (300, "z" * 60), (301, rows[0][1]), (None, rows[1][1] + "tail")]
 
 
-@pytest.mark.parametrize(("chunk", "bucket"), [(1 << 11, 60), (1 << 22, 10**6)])
-def test_suffix_array_matches_brute_force(docs_of, where, monkeypatch, chunk, bucket):
+@pytest.mark.parametrize(("chunk", "bucket", "thin"), [(1 << 11, 60, 64), (1 << 11, 60, 1), (1 << 11, 5, 1), (1 << 22, 10**6, 64)])
+def test_suffix_array_matches_brute_force(docs_of, where, monkeypatch, chunk, bucket, thin):
+    """A few rows a bucket, with some grams or nearly all apart, and everything in one bucket."""
     monkeypatch.setattr(suffix, "CHUNK", chunk)
+    monkeypatch.setattr(suffix, "THIN", thin)
     monkeypatch.setattr(suffix, "BUCKET_ROWS", bucket)
     rows = repeated_texts(chunk)
     got = sorted(map(tuple, suffix.deduplicate(docs_of(rows), where).collect()), key=str)

@@ -7,8 +7,9 @@ inverting the distribution at a uniform number made of a hash of (seed, doc_id),
 a lost executor or another partitioning draws the same copies. Copies are then dealt to
 partitions by a hash of (seed, doc_id, copy) and sorted by it within each, a global shuffle.
 
-Sizes per source are partial aggregates; the rates are one row per source and joined like any
-table, so adaptive execution splits a hot source or sends the few rates to all tasks.
+Sizes per source are partial aggregates. The rates, one row per source, are counted: up to
+``FEW_SOURCES`` of them are broadcast, and text is shuffled once; more are joined like any table,
+where adaptive execution splits a hot source.
 A null source is a source of its own; a null doc_id draws as the text "null"; repeated rows
 draw alike; an empty table gives an empty result; other columns pass through.
 """
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 #: Uniform numbers have 52 bits, so a distribution function over 1 - 2**-53 inverts all of them.
 HEX_DIGITS = 13
 MAX_RATE = 700
+FEW_SOURCES = 10_000
 
 
 def uniform(seed: int, *columns: Column) -> Column:
@@ -43,25 +45,26 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["k"])).otherwise(F.lit(0))
 
 
-def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, size: int | None = None) -> DataFrame:
-    """(source, n, rate). Weights default to n ** power, which evens sources out; sources missing from ``weights`` get 0."""
+def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, size: int | None = None) -> tuple[DataFrame, int]:
+    """(source, n, rate), and how many sources there are. Weights default to n ** power, which evens sources out; sources missing from ``weights`` get 0."""
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         n = n.withColumn("w", F.pow("n", F.lit(power)))
     else:
         parts = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
         n = n.withColumn("w", F.coalesce(F.element_at(F.create_map(*parts), F.col("source")), F.lit(0.0)) if parts else F.lit(0.0))
-    t = n.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.max(F.col("w") / F.col("n")).alias("most")).first()
+    t = n.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.max(F.col("w") / F.col("n")).alias("most"), F.count(F.lit(1)).alias("sources")).first()
     size = float(size or t["n"] or 0)
     if t["w"] and t["most"] / t["w"] * size > MAX_RATE:
         raise ValueError(f"a source would repeat more than {MAX_RATE} times; lower its weight or the size")
-    return n.select("source", "n", (F.col("w") / F.lit(t["w"]) * F.lit(size) / F.col("n") if t["w"] else F.lit(0.0)).alias("rate"))
+    return n.select("source", "n", (F.col("w") / F.lit(t["w"]) * F.lit(size) / F.col("n") if t["w"] else F.lit(0.0)).alias("rate")), t["sources"]
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 42, power: float = 0.5, size: int | None = None, partitions: int | None = None) -> DataFrame:
     """The columns of ``docs``, and ``copy`` from 0 and ``shuffle_key``; one row per copy, shuffled globally."""
-    rates = repetition_rates(docs, weights, power, size)
+    rates, sources = repetition_rates(docs, weights, power, size)
     rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    rates = F.broadcast(rates) if sources <= FEW_SOURCES else rates
     out = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
     out = out.withColumn("_k", poisson_inverse(uniform(seed, F.lit("n"), F.col("doc_id")), F.col("_rate")))
     out = out.where("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))

@@ -186,7 +186,9 @@ def build_index(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(run, schema)
+    # a number of partitions of its own: paths are short, and Spark would join small partitions of them into one task
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("archive").repartition(n, "archive").mapInArrow(run, schema)
 
 
 KINDS = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
@@ -217,7 +219,8 @@ def read_records(selected: DataFrame, partitions: int | None = None) -> DataFram
 
     schema = StructType.fromDDL(RECORD)
     keys = ("archive", "offset")
-    dealt = selected.select("archive", "offset", "length").repartitionByRange(*([partitions] if partitions else []), *keys).sortWithinPartitions(*keys)
+    n = partitions or int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = selected.select("archive", "offset", "length").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, opened = None, None

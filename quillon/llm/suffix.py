@@ -380,7 +380,7 @@ def deduplicate(docs: DataFrame, where: str, keep_text: bool = False) -> DataFra
     total = base.agg(F.sum("n_bytes")).first()[0] or 0
     chunks = max(1, -(-total // CHUNK))
     part_bits = min(24, max(MIN_PART_BITS, int(total // PART_BYTES).bit_length()))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"quillon_texts_{uuid.uuid4().hex}"
     packed = _packed_texts(docs).withColumn("chunk", F.pmod(F.xxhash64("sha"), F.lit(chunks))).repartition(buckets, "chunk")
     packed = packed.groupBy("chunk", "sha").agg(F.min("doc").alias("doc"), F.max("blob").alias("blob"))

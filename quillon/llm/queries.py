@@ -83,7 +83,7 @@ def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.deduplicate_lines(table(spark, sf_dir, "documents"), shared_dir(spark))
+    out = lines.deduplicate_lines(table(spark, sf_dir, "documents"), shared_dir(spark), candidates="runs")
     return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), "text")
 
 

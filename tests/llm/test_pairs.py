@@ -267,6 +267,57 @@ def test_lines_of_odd_and_no_documents(odd_docs, no_docs, where):
     assert lines.deduplicate_lines(no_docs, where + "0").collect() == []
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def changed_lines(n_lines, most):
+    """Pairs of lines of 6 to 90 words, the second with up to ``most`` of the words edited."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 10))) for _ in range(3000)]
+    pairs = []
+    for _ in range(n_lines):
+        line = [rng.choice(vocabulary) for _ in range(rng.choice([6, 7, 9, 10, 12, 16, 22, 40, 90]))]
+        changed = line[:]
+        for _ in range(max(1, int(len(line) * most + 1e-9))):
+            k = rng.randrange(len(changed))
+            changed[k : k + 1] = rng.choice([[rng.choice(vocabulary)], [rng.choice(vocabulary)], [], [changed[k], rng.choice(vocabulary)]])
+        pairs.append((line, changed))
+    return pairs
+
+
+def removed_shares(pairs, docs_of, where):
+    """Of the pairs of edit similarity 0.8 or more, and of the others: the share whose second line goes."""
+    rows = [(k * 1000 + d, " ".join(line)) for d, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    out = lines.deduplicate_lines(docs_of(rows), where, candidates="runs")
+    gone = {r["doc_id"]: r["n_removed"] for r in out.collect()}
+    close = [word_edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9) for a, b in pairs]
+    share = lambda want: np.mean([gone[1000 + d] for d, c in enumerate(close) if c == want] or [0])
+    assert not any(gone[d] for d in range(len(pairs)))
+    return share(True), share(False), sum(close)
+
+
+@pytest.mark.parametrize("most", [0.0, 0.1, 0.2])
+def test_lines_by_runs_recall_of_edit_similarity(docs_of, where, most):
+    """Against edit similarity alone, without any condition on candidates."""
+    found, other, n_close = removed_shares(changed_lines(400, most), docs_of, where)
+    assert n_close > 200 and found >= 0.99 and other == 0
+
+
+def test_lines_by_runs_of_a_common_line_and_family(docs_of, where, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 20)
+    base = [f"word{k}" for k in range(20)]
+    variants = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(20)]
+    rows = [(d, " ".join(base)) for d in range(50)] + [(100 + d, v) for d, v in enumerate(variants)]
+    out = lines.deduplicate_lines(docs_of(rows), where, candidates="runs")
+    assert {r["doc_id"] for r in out.where("n_removed = 0").collect()} == {0}
+
+
 # decontamination
 
 def plain_hits(rows, items, window=10, slop=0):

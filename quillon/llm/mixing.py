@@ -4,7 +4,10 @@ A source with target weight w, of total weight W, and n of all N documents gets
 repetition rate r = (w / W) * size / n, where ``size`` is the number of documents the mixture
 should have (all N unless given). Each document draws its number of copies from Poisson(r) by
 inverting the distribution at a uniform number made of a hash of (seed, doc_id), so a rerun,
-a lost executor or another partitioning draws the same copies. Copies are then dealt to
+a lost executor or another partitioning draws the same copies. A rate over ``MAX_RATE``, as of a
+rare source in a large table, is split into equal parts of at most that; the document's number is the
+sum of a draw for each, which is Poisson(r) as well. Only weights that the caller names are refused where
+they ask for such a rate. Copies are then dealt to
 partitions by a hash of (seed, doc_id, copy) and sorted by it within each, a global shuffle.
 
 Sizes per source are partial aggregates. The rates, one row per source, are counted: up to
@@ -45,6 +48,14 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["k"])).otherwise(F.lit(0))
 
 
+def poisson_draw(seed: int, doc_id: Column, rate: Column) -> Column:
+    """A Poisson number of any rate from the hash of (seed, doc_id), and of the part's number where there are several."""
+    parts = F.ceil(rate / MAX_RATE).cast("int")
+    part = lambda a, i: (a + poisson_inverse(uniform(seed, F.lit("n"), doc_id, i), rate / parts)).cast("int")
+    split = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), part)
+    return F.when(rate <= MAX_RATE, poisson_inverse(uniform(seed, F.lit("n"), doc_id), rate)).otherwise(split)
+
+
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, size: int | None = None) -> tuple[DataFrame, int]:
     """(source, n, rate), and how many sources there are. Weights default to n ** power, which evens sources out; sources missing from ``weights`` get 0."""
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -55,7 +66,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, p
         n = n.withColumn("w", F.coalesce(F.element_at(F.create_map(*parts), F.col("source")), F.lit(0.0)) if parts else F.lit(0.0))
     t = n.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.max(F.col("w") / F.col("n")).alias("most"), F.count(F.lit(1)).alias("sources")).first()
     size = float(size or t["n"] or 0)
-    if t["w"] and t["most"] / t["w"] * size > MAX_RATE:
+    if weights is not None and t["w"] and t["most"] / t["w"] * size > MAX_RATE:
         raise ValueError(f"a source would repeat more than {MAX_RATE} times; lower its weight or the size")
     return n.select("source", "n", (F.col("w") / F.lit(t["w"]) * F.lit(size) / F.col("n") if t["w"] else F.lit(0.0)).alias("rate")), t["sources"]
 
@@ -66,7 +77,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 42
     rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     rates = F.broadcast(rates) if sources <= FEW_SOURCES else rates
     out = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_k", poisson_inverse(uniform(seed, F.lit("n"), F.col("doc_id")), F.col("_rate")))
+    out = out.withColumn("_k", poisson_draw(seed, F.col("doc_id"), F.col("_rate")))
     out = out.where("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("s"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     out = out.withColumn("shuffle_key", key).drop("_source", "_rate", "_k")

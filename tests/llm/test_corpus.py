@@ -137,6 +137,21 @@ def test_mixing_refuses_extreme_rates_and_takes_odd_input(spark, odd_docs, no_do
     assert mixing.mix(no_docs).collect() == [] and mixing.mix(odd_docs, {}).collect() == []
 
 
+def test_default_weights_take_any_rate(spark):
+    """Two sources of one document each beside a large one: a rate of some 1,000 each."""
+    docs = spark.range(4_000_000).selectExpr("id as doc_id", "'t' as text", "'en' as lang", "case id when 0 then 'rare' when 1 then null else 'hot' end as source", "1L as n_chars")
+    got = {r["doc_id"]: r["count"] for r in mixing.mix(docs).where("source = 'rare' or source is null").groupBy("doc_id").count().collect()}
+    rate = 4_000_000 / (2 + 3_999_998**0.5)
+    assert set(got) == {0, 1} and rate > 700 and all(abs(n - rate) < 4 * rate**0.5 for n in got.values()), (got, rate)
+
+
+def test_split_draws_are_poisson(spark):
+    got = [r[0] for r in spark.range(600).select(mixing.poisson_draw(42, F.col("id"), F.lit(2000.0))).collect()]
+    assert abs(np.mean(got) - 2000) < 4 * (2000 / 600) ** 0.5 and 0.75 < np.var(got) / 2000 < 1.3
+    one = [r[0] for r in spark.range(50).select(mixing.poisson_draw(42, F.col("id"), F.lit(3.5))).collect()]
+    assert one == [r[0] for r in spark.range(50).select(mixing.poisson_inverse(mixing.uniform(42, F.lit("n"), F.col("id")), F.lit(3.5))).collect()]
+
+
 def test_pipeline_stages(spark, where):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -318,6 +318,14 @@ def test_lines_by_runs_of_a_common_line_and_family(docs_of, where, monkeypatch):
     assert {r["doc_id"] for r in out.where("n_removed = 0").collect()} == {0}
 
 
+def test_lines_by_runs_remove_repeats_of_any_line(docs_of, where):
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(40))
+    every = ["two words", "a b c d e f", "12345", "Page 1", "Page 2", "x", han, "}"]
+    rows = [(1, "\n".join(every) + "\n\n "), (2, "\n\n".join(["  two words\t", *every[1:], "new", han[:20] + "\u3042" + han[21:], han[::-1]]))]
+    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.deduplicate_lines(docs_of(rows), where, candidates="runs").collect()}
+    assert out[1] == (rows[0][1], 0) and out[2][1] == 9 and out[2][0].split() == ["new", han[::-1]]
+
+
 # decontamination
 
 def plain_hits(rows, items, window=10, slop=0):

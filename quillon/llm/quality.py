@@ -1,29 +1,35 @@
 """Quality classifier by co-training a text view and a metadata view.
 
-A document is good if its label says quality and not toxic. The text view sees hashed words
-and word beginnings, once per text, and measures of style; the metadata view sees source, language and
-length. Both are logistic models. In each round either view labels those unlabelled documents of
-which it is sure, by probabilities calibrated on held-out labels, and hands them to the other view
-to train on. At last a logistic combination of the calibrated views is fitted on the
-held-out labels and scores every document.
+A document is good if its label says quality and not toxic. The text view sees hashed words and word beginnings, each once per
+text; the metadata view sees source, language and length, alone and crossed, and the page's layout: measures of its
+lines, marks and capitals. Both are logistic models. Either has one more input, what the other view has taught it:
 
-Fitting takes bounded samples: the ``max_labelled`` labelled and ``max_unlabelled`` other
-documents with the least hashes of their ids. Only these features and the model, 2**18 weights,
-pass through the driver. Scoring is one pass over whole texts without a shuffle.
+1. In each round either model scores every document that is not of the labelled sample. Those whose calibrated probability is in the upper or
+   lower ``SURE`` of the class's share among held-out labels it hands to the other view, labelled with that probability.
+2. The other view counts its own features in them, by label, over all such documents; a feature's lesson is the logarithm of how
+   much more often good ones have it than bad ones, and a document's is the mean of its features'.
+3. Both models are fitted anew, on the labelled sample, with their lesson as an input: so words and sources that no
+   labelled document has weigh as well.
+
+At last a logistic combination of the calibrated views is fitted on the held-out labels and scores every document.
+
+Fitting takes a bounded sample of labels, the ``max_labelled`` with the least hashes of their ids; every fifth is held out for calibration, thresholds and the
+combination. The driver gathers, per labelled document, the features that are chosen by their counts, and arrays of one number
+per hashed feature, 2**18; counts over the pool are summed on the executors. Each round and the scoring is one pass over whole texts without
+a shuffle of them.
 
 Null texts count as empty, null metadata as a value of its own; several labels of one document make it
 good only if all do; null labels are ignored. Without labels of both classes every document gets the
 share of good labels (1 without labels). Documents that score at least ``threshold`` are kept,
-and all in that last case. Repeated rows score alike; an empty table gives an empty result.
+and all in that last case. Repeated rows score alike; an empty table gives an empty result; further columns pass through, but for those that are added, which are
+replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -32,46 +38,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.common import materialize
+
 BITS = 18
 DIM = 1 << BITS
-N_STYLE = 16
-MAX_LABELLED, MAX_UNLABELLED = 12_000, 4_000
-ROUNDS, SURE = 3, 0.97
+N_STYLE = 15
+#: Labelled documents that are fitted on, and features of a view that a model may choose.
+MAX_LABELLED, MAX_FEATURES = 12_000, 1 << 15
+ROUNDS, SURE = 2, 0.5
 THRESHOLD = 0.5
-Z = 3.0
-EDGES = ".,;:!?\"'()[]{}<>|#%$&*-_"
-UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-SYMBOLS = re.compile(r"[#%$&*|<>{}\\^~]")
+Z, LEAST = 4.0, 4
+PREFIXES = (4, 5, 6)
+#: Bytes of texts whose features are made together.
+CHUNK = 1 << 20
+#: Features are counted by slices of this many.
+SLICE = 1 << 12
+U = np.uint64
+TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, U) * U(2) + U(1)
+POWER = U(0xD6E8FEB86659FD93)
+#: Bytes between words: blanks and marks, which words are split at.
+BETWEEN = np.array([c <= 32 or chr(c) in ".,;:!?\"'()[]{}<>|#%$&*-_" for c in range(256)])
+#: Classes of bytes that the layout counts, each a bit.
+CLASSES = {"line": "\n", "bar": "|", "mark": "!", "stop": ".,", "digit": "0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "symbol": "#%$&*|<>{}\\^~"}
+KIND = np.array([sum((chr(c) in s) << k for k, s in enumerate(CLASSES.values())) for c in range(128)] + [0] * 128, np.uint8)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers whose every bit depends on all (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+@dataclass
+class Rows:
+    """Hashed features of documents, those of document k from ``at[k]`` to ``at[k + 1]``, and dense ones."""
+
+    ids: np.ndarray
+    at: np.ndarray
+    dense: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def sums(self, per_feature: np.ndarray) -> np.ndarray:
+        """The sum over each document's features."""
+        return np.diff(np.concatenate([[0.0], np.cumsum(per_feature[self.ids], dtype=np.float64)])[self.at])
+
+    def take(self, rows: np.ndarray) -> Rows:
+        size = np.diff(self.at)[rows]
+        at = np.concatenate([[0], np.cumsum(size)])
+        return Rows(self.ids[np.repeat(self.at[rows] - at[:-1], size) + np.arange(at[-1])], at, self.dense[rows])
+
+
+def _distinct(doc: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    found = np.sort(doc << BITS | ids)
+    found = found[np.diff(found, prepend=-1) > 0]
+    return (found & (DIM - 1)).astype(np.int32), np.searchsorted(found, np.arange(n + 1) << BITS)
+
+
+def content(texts: list[str]) -> tuple[Rows, np.ndarray]:
+    """The text view of non-empty ``texts``, and ``N_STYLE`` measures of their layout, between 0 and 1."""
+    raw = [t.encode() for t in texts]
+    b = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    starts = ends - [len(x) + 1 for x in raw]
+    low = np.frombuffer("\n".join(t.lower() for t in texts).encode() + b"\n", np.uint8)
+    low_starts = starts
+    if len(low) != len(b):  # lower case of some letters is longer or shorter
+        sizes = [len(t.lower().encode()) + 1 for t in texts]
+        low_starts = np.cumsum(sizes) - sizes
+    apart = BETWEEN[low]
+    first = np.flatnonzero(~apart & np.concatenate([[True], apart[:-1]]))
+    last = np.flatnonzero(~apart & np.concatenate([apart[1:], [True]]))
+    size = last - first + 1
+    body = first[0] if len(first) else len(low)
+    start = first - body
+    within = np.arange(len(low) - body) - np.repeat(start, np.diff(start, append=len(low) - body))
+    powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, POWER, U))
+    term = np.where(apart[body:], U(0), TABLE[low[body:]] * powers[np.minimum(within, len(powers) - 1)])
+    word = mixed(np.add.reduceat(term, start)) if len(first) else np.zeros(0, U)
+    doc = np.searchsorted(low_starts, first, "right") - 1
+    n_docs = len(texts)
+    # the first of equal words of a text stands for all
+    _, once = np.unique(mixed(word + doc.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
+    of, at, long = doc[once], start[once], size[once]
+    ids, docs = [(word[once] & U(DIM - 1)).astype(np.int64)], [of]
+    for k in PREFIXES:
+        some = long > k
+        beginning = sum((term[at[some] + j] for j in range(k)), np.zeros(int(some.sum()), U))
+        ids.append((mixed(beginning + U(k)) & U(DIM - 1)).astype(np.int64))
+        docs.append(of[some])
+    flat, where = _distinct(np.concatenate(docs), np.concatenate(ids), n_docs)
+
+    kind = KIND[b]
+    count = {name: np.add.reduceat(kind >> k & 1, starts, dtype=np.int64) for k, name in enumerate(CLASSES)}
+    n = np.maximum(np.array([len(x.split()) for x in raw]), 1)
+    n_words = np.bincount(doc, minlength=n_docs)
+    chars, lines = ends - starts - 1, count["line"]
+    repeats = np.bincount(doc[1:][(word[1:] == word[:-1]) & (doc[1:] == doc[:-1])], minlength=n_docs)
+    n_lines_once = np.array([len(set(x.split(b"\n"))) for x in raw])
+    style = np.minimum(1.0, np.stack([
+        n / 50, np.log1p(n) / 10, np.bincount(doc, size, n_docs) / np.maximum(n_words, 1) / 15, np.bincount(of, minlength=n_docs) / np.maximum(n_words, 1), count["symbol"] / n, count["bar"] / n, count["symbol"] / chars * 10, count["upper"] / chars * 2, count["mark"] / n,
+        count["digit"] / chars * 4, count["stop"] / n, n_lines_once / lines, chars / lines / 400, repeats / n, n / lines / 80,
+    ], 1))
+    return Rows(flat, where, np.zeros((n_docs, 0))), style
 
 
 @lru_cache(maxsize=1 << 16)
-def word_features(word: str) -> tuple[int, ...]:
-    """The word, and its first 4, 5 and 6 characters, each hashed with its kind."""
-    return tuple(crc32(f"{k}{word[:k]}".encode()) & (DIM - 1) for k in (99, 4, 5, 6))
-
-
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features of a whole text, and ``N_STYLE`` measures between 0 and 1, which are also hashed by interval."""
-    text = text or ""
-    raw = text.split()
-    low = text.lower().split()
-    distinct = set(low)
-    n, chars = max(1, len(raw)), max(1, len(text))
-    lines = text.split("\n")
-    upper, marks, symbols = len(UPPER.findall(text)), text.count("!"), len(SYMBOLS.findall(text))
-    repeats = sum(map(str.__eq__, low, low[1:]))
-    style = np.minimum(1.0, [
-        n / 50, np.log1p(len(raw)) / 10, sum(map(len, raw)) / n / 15, len(distinct) / n, symbols / n, text.count("|") / n, symbols / chars * 10, upper / chars * 2, marks / n,
-        sum(map(text.count, "0123456789")) / chars * 4, sum(map(text.count, ".,")) / n, len(set(lines)) / len(lines), chars / len(lines) / 400, repeats / n, n / len(lines) / 80, 1.0,
-    ])
-    binned = [crc32(f"style{k}:{int(x * 12)}".encode()) & (DIM - 1) for k, x in enumerate(style)]
-    hashed = np.unique(np.fromiter(chain(binned, chain.from_iterable(word_features(w.strip(EDGES)) for w in distinct)), np.int32))
-    return hashed, style
-
-
-def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+def record_features(source: str | None, lang: str | None, n_chars: int | None) -> tuple[int, ...]:
     size = -1 if n_chars is None else min(24, int(np.log2(max(1, n_chars)) * 1.5))
-    return np.unique(np.array([crc32(x.encode()) & (DIM - 1) for x in (f"s{source!r}", f"l{lang!r}", f"n{size}", f"ln{lang!r}{size}")], np.int32))
+    names = (f"s{source!r}", f"l{lang!r}", f"n{size}", f"ln{lang!r}{size}", f"sl{source!r}{lang!r}", f"sn{source!r}{size}", f"b{(source or '')[:3]!r}")
+    return tuple(crc32(x.encode()) & (DIM - 1) for x in names)
+
+
+def both_views(texts: list[str | None], sources: list, langs: list, sizes: list) -> tuple[Rows, Rows]:
+    """The text view and the metadata view of documents, made in chunks of bounded size."""
+    full = [k for k, t in enumerate(texts) if t]
+    style = np.zeros((len(texts), N_STYLE))
+    flat, counts, chunk, room = [], np.zeros(len(texts), np.int64), [], 0
+    for k in [*full, None]:
+        if chunk and (k is None or room + len(texts[k]) > CHUNK):
+            rows, made = content([texts[i] for i in chunk])
+            style[chunk], counts[chunk] = made, np.diff(rows.at)
+            flat.append(rows.ids)
+            chunk, room = [], 0
+        if k is not None:
+            chunk.append(k)
+            room += len(texts[k])
+    at = np.concatenate([[0], np.cumsum(counts)])
+    text = Rows(np.concatenate(flat) if flat else np.zeros(0, np.int32), at, np.zeros((len(texts), 0)))
+    binned = (mixed((np.arange(N_STYLE) * 16 + (style * 12).astype(np.int64)).astype(U) + U(1)) & U(DIM - 1)).astype(np.int64)
+    record = np.array([record_features(s, g, c) for s, g, c in zip(sources, langs, sizes, strict=True)], np.int64).reshape(len(texts), -1)
+    every = np.concatenate([record, binned], 1)
+    ids, at = _distinct(np.repeat(np.arange(len(texts)), every.shape[1]), every.ravel(), len(texts))
+    return text, Rows(ids, at, style)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -80,53 +181,41 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Logistic:
-    """Hashed features count 1 each, dense ones by their value."""
+    """Hashed features count 1 each; dense ones, the lesson and a constant by their value."""
 
-    dense: int
     l2: float = 1e-4
-    steps: int = 150
-    w: np.ndarray = field(default_factory=lambda: np.zeros(DIM))
-    v: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    steps: int = 60
+    w: np.ndarray = field(default_factory=lambda: np.zeros(DIM, np.float32))
+    v: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    lesson: np.ndarray | None = None
     scale: tuple[float, float] = (1.0, 0.0)
 
-    def margin(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        if not rows:
-            return np.zeros(0)
-        return np.array([self.w[h].sum() for h, _ in rows]) + np.stack([d for _, d in rows]) @ self.v
-
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> Logistic:
-        """Full-batch Adam from zero, on features that at least four documents have and whose share of good ones differs from the overall share by ``Z`` standard errors."""
-        n, ones, share = np.zeros(DIM), np.zeros(DIM), y.mean()
-        for k in range(0, len(rows), 256):
-            part = rows[k : k + 256]
-            at = np.concatenate([h for h, _ in part])
-            n += np.bincount(at, minlength=DIM)
-            ones += np.bincount(at, np.repeat(y[k : k + 256], [len(h) for h, _ in part]), DIM)
-        keep = (n >= 4) & (np.abs(ones - n * share) >= Z * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
-        chosen = [h[keep[h]] for h, _ in rows]
-        row = np.repeat(np.arange(len(rows)), [len(h) for h in chosen])
-        used, flat = np.unique(np.concatenate(chosen), return_inverse=True)
-        dense = np.stack([d for _, d in rows])
-        weight = weight / weight.sum()
-        theta = np.zeros(len(used) + dense.shape[1])
+    def inputs(self, rows: Rows) -> np.ndarray:
+        taught = np.zeros(len(rows)) if self.lesson is None else rows.sums(self.lesson) / np.maximum(np.diff(rows.at), 1)
+        return np.column_stack([rows.dense, taught, np.ones(len(rows))])
+
+    def margin(self, rows: Rows) -> np.ndarray:
+        return rows.sums(self.w) + self.inputs(rows) @ self.v
+
+    def fit(self, rows: Rows, inputs: np.ndarray, y: np.ndarray) -> Logistic:
+        """Full-batch Adam from zero."""
+        used, flat = np.unique(rows.ids, return_inverse=True)
+        row = np.repeat(np.arange(len(rows)), np.diff(rows.at)).astype(np.int32)
+        flat = flat.astype(np.int32)
+        theta = np.zeros(len(used) + inputs.shape[1])
         m, s = np.zeros_like(theta), np.zeros_like(theta)
         for k in range(1, self.steps + 1):
-            z = np.bincount(row, theta[: len(used)][flat], len(rows)) + dense @ theta[len(used) :]
-            r = (sigmoid(z) - y) * weight
-            g = np.concatenate([np.bincount(flat, r[row], len(used)), dense.T @ r]) + self.l2 * theta
+            z = np.bincount(row, theta[: len(used)][flat], len(rows)) + inputs @ theta[len(used) :]
+            r = (sigmoid(z) - y) / len(y)
+            g = np.concatenate([np.bincount(flat, r[row], len(used)), inputs.T @ r]) + self.l2 * theta
             m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
             theta -= 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.999**k)) + 1e-8)
-        self.w = np.zeros(DIM)
+        self.w = np.zeros(DIM, np.float32)
         self.w[used] = theta[: len(used)]
         self.v = theta[len(used) :]
         return self
 
-    def calibrate(self, rows: list, y: np.ndarray) -> Logistic:
-        """Platt scaling on held-out rows."""
-        self.scale = tuple(_logit_fit(self.margin(rows)[:, None], y))
-        return self
-
-    def logit(self, rows: list) -> np.ndarray:
+    def logit(self, rows: Rows) -> np.ndarray:
         return self.margin(rows) * self.scale[0] + self.scale[1]
 
 
@@ -156,88 +245,195 @@ def _logit_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 @dataclass
 class Model:
+    """``exchanged``: of each round, how many documents the text view and the metadata view labelled for the other."""
+
     text: Logistic
     meta: Logistic
     mix: np.ndarray
     prior: float | None = None
+    #: Of the text and the metadata view: calibrated logits from which a document is surely good, and to which it is surely bad.
+    sure: list[tuple[float, float]] = field(default_factory=list)
     exchanged: list[tuple[int, int]] = field(default_factory=list)
 
-    def scores(self, text: list, meta: list) -> np.ndarray:
+    def scores(self, text: Rows, meta: Rows) -> np.ndarray:
         """Probabilities of good by text, by metadata and by both."""
         if self.prior is not None:
-            return np.full((len(text), 3), self.prior)
+            return np.full((len(meta), 3), self.prior)
         a, b = self.text.logit(text), self.meta.logit(meta)
         return sigmoid(np.stack([a, b, a * self.mix[0] + b * self.mix[1] + self.mix[2]], 1))
 
 
-def co_train(text: list, meta: list, y: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> Model:
-    """``y``: 1 good, 0 bad, -1 unlabelled. Every fifth labelled row is held out for calibration."""
-    labelled = np.flatnonzero(y >= 0)
-    good = y[labelled].mean() if len(labelled) else 1.0
-    held, train = labelled[::5], np.setdiff1d(labelled, labelled[::5])
-    if any(len(set(y[x].tolist())) < 2 for x in (held, train)):
-        return Model(Logistic(N_STYLE), Logistic(1), np.zeros(3), prior=float(good))
-    pool = np.flatnonzero(y < 0)
-    take = lambda rows, at: [rows[k] for k in at]
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view got from the other
-    views, exchanged = [text, meta], []
-    models: list[Logistic] = []
-    for r in range(rounds + 1):
-        models = []
-        for rows, extra, dense in zip(views, given, (N_STYLE, 1), strict=True):
-            at = np.concatenate([train, np.array(sorted(extra), np.int64)])
-            goal = np.concatenate([y[train], [extra[k] for k in sorted(extra)]])
-            weight = np.concatenate([np.ones(len(train)), np.full(len(extra), 0.5)])
-            models.append(Logistic(dense).fit(take(rows, at), goal, weight).calibrate(take(rows, held), y[held]))
-        if r == rounds or not len(pool):
-            break
-        for k in (0, 1):
-            p = sigmoid(models[k].logit(take(views[k], pool)))
-            given[1 - k] |= {int(d): int(q > 0.5) for d, q in zip(pool, p, strict=True) if q >= sure or q <= 1 - sure}
-        exchanged.append((len(given[1]), len(given[0])))
-        if exchanged[-1] in exchanged[:-1]:  # neither view has learnt of another document
-            break
-    both = np.stack([m.logit(take(v, held)) for m, v in zip(models, views, strict=True)], 1)
-    mix = _logit_fit(both, y[held])
-    if mix[1] < 0:  # a view that would count against itself is left out
-        mix = np.insert(_logit_fit(both[:, :1], y[held]), 1, 0.0)
-    return Model(models[0], models[1], mix, exchanged=exchanged)
+def lesson(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Per feature, how much more often good documents have it than bad ones; 0 for features of too few."""
+    n, m = good.sum(), bad.sum()
+    return np.where(good + bad >= LEAST, np.log((good + 1) / (n + 2)) - np.log((bad + 1) / (m + 2)), 0.0).astype(np.float32)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_unlabelled: int) -> DataFrame:
-    """doc_id, y: bounded sets of labelled (1 or 0) and other (-1) documents."""
-    rank = F.xxhash64("doc_id", F.lit(7))
+def _sample(labels: DataFrame, most: int) -> DataFrame:
+    """doc_id and y, 1 for good: the ``most`` labels with the least hashes of their ids."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-    known = known.select("doc_id", F.col("good").cast("int").alias("y")).orderBy(rank, "doc_id").limit(max_labelled)
-    # enough ids that, whatever their labels are, max_unlabelled others come first
-    others = docs.where("doc_id is not null").select("doc_id").distinct().join(labels.select("doc_id"), "doc_id", "left_anti")
-    others = others.orderBy(rank, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(-1).alias("y"))
-    return known.unionByName(others)
+    return known.select("doc_id", F.col("good").cast("int").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
+
+
+def _views(batch: pa.RecordBatch) -> tuple[Rows, Rows]:
+    return both_views(*[batch.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")])
+
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, 512) for k in range(0, batch.num_rows, 512))
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS) -> Model:
-    """Fit on at most ``max_labelled`` + ``max_unlabelled`` documents; features are made on the executors."""
-    chosen = _sample(docs, labels, max_labelled, max_unlabelled)
+
+def _labelled(docs: DataFrame, chosen: DataFrame, where: str) -> DataFrame:
+    """doc_id, y and features of the sample, one row per document, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ys, texts, sources, langs, sizes = batch.columns
-            made = [text_features(texts[k].as_py()) for k in range(batch.num_rows)]
-            meta = [meta_features(sources[k].as_py(), langs[k].as_py(), sizes[k].as_py()) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([ids, ys, *(pa.array([x.tobytes() for x in c], pa.binary()) for c in ([h for h, _ in made], [d for _, d in made], meta))], names=["doc_id", "y", "hashed", "style", "meta"])
+        for whole in batches:
+            for batch in _pieces(whole):
+                views = _views(batch)
+                lists = [pa.ListArray.from_arrays(pa.array(v.at.astype(np.int32)), pa.array(v.ids)) for v in views]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *lists, pa.array([x.tobytes() for x in views[1].dense], pa.binary())], names=["doc_id", "y", "text", "meta", "style"])
 
-    # the chosen ids are at most max_labelled + max_unlabelled rows
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("y int, text array<int>, meta array<int>, style binary").fields])
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars")
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("y int, hashed binary, style binary, meta binary").fields])
-    table = rows.mapInArrow(run, schema).toArrow().sort_by("doc_id")
-    got = {c: table[c].to_pylist() for c in table.column_names}
+    made = materialize(rows.mapInArrow(run, schema), f"{where}/labelled")
+    # repeated rows of an id add nothing but room
+    return materialize(made.dropDuplicates(["doc_id"]), f"{where}/sample")
+
+
+def _counts(sample: DataFrame, view: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of each feature, how many fitted documents have it, and how many good ones."""
+    rows = sample.where(~_is_held()).select("y", F.explode(view).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).toArrow()
+    n, ones = np.zeros(DIM), np.zeros(DIM)
+    n[rows["id"].to_numpy()], ones[rows["id"].to_numpy()] = rows["n"].to_numpy(), rows["ones"].to_numpy()
+    return n, ones
+
+
+def _is_held() -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(5)) == 0
+
+
+def _rows(table: pa.Table, view: str) -> Rows:
+    lists = table[view].combine_chunks()
+    style = np.frombuffer(b"".join(table["style"].to_pylist()), np.float64).reshape(-1, N_STYLE)
+    return Rows(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64), style if view == "meta" else style[:, :0])
+
+
+def _exchange(pool: DataFrame, model: Model) -> tuple[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]]:
+    """What either view labels for the other: how many documents, and counts of the other's features in good and bad ones, summed over the whole pool."""
+    shared = pool.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        counts, told = np.zeros((2, 2, DIM)), [0, 0]
+        for whole in batches:
+            for batch in _pieces(whole):
+                views = _views(batch)
+                for k, logistic in enumerate((m.text, m.meta)):
+                    z = logistic.logit(views[k])
+                    sure = np.flatnonzero((z >= m.sure[k][0]) | (z <= m.sure[k][1]))
+                    told[k] += len(sure)
+                    other = views[1 - k].take(sure)
+                    p = np.repeat(sigmoid(z[sure]), np.diff(other.at))
+                    counts[1 - k] += np.bincount(other.ids, p, DIM), np.bincount(other.ids, 1 - p, DIM)
+        for k in range(2):
+            for start in range(0, DIM, SLICE):
+                part = counts[k, :, start : start + SLICE]
+                if part.any() or not start:
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([start], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([0 if start else told[1 - k]], pa.int64())], names=["view", "start", "counts", "told"])
+
+    def total(table: pa.Table) -> pa.Table:
+        both = sum(np.frombuffer(x.as_py(), np.float64) for x in table["counts"])
+        return pa.table([table["view"][:1], table["start"][:1], pa.array([both.tobytes()], pa.binary()), pa.array([sum(table["told"].to_pylist())])], names=["view", "start", "counts", "told"])
+
+    schema = "view int, start int, counts binary, told long"
+    parts = pool.select("text", "source", "lang", "n_chars").mapInArrow(run, schema)
+    # sums of sums, so that a slice is never gathered from all tasks at once
+    some = parts.withColumn("_lane", F.pmod(F.monotonically_increasing_id() / F.lit(1 << 33), F.lit(64)).cast("int")).groupBy("view", "start", "_lane").applyInArrow(total, schema)
+    counts, told = np.zeros((2, 2, DIM)), [0, 0]
+    for row in some.groupBy("view", "start").applyInArrow(total, schema).toArrow().to_pylist():
+        counts[row["view"], :, row["start"] : row["start"] + SLICE] += np.frombuffer(row["counts"], np.float64).reshape(2, -1)
+        told[1 - row["view"]] += row["told"]
+    return (told[0], told[1]), [(c[0], c[1]) for c in counts]
+
+
+def fit(docs: DataFrame, labels: DataFrame, where: str, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
+    """Co-train on at most ``max_labelled`` labels and all other documents; tables go below ``where``."""
+    chosen = materialize(_sample(labels, max_labelled), f"{where}/chosen")
+    sample = _labelled(docs, chosen, where)
+    share = {(r["held"], r["y"]): r["count"] for r in sample.withColumn("held", _is_held()).groupBy("held", "y").count().collect()}
+    good = sum(n for (_, y), n in share.items() if y) / max(1, sum(share.values()))
+    if len(share) < 4:  # a class is missing from what is fitted or from what is held out
+        return Model(Logistic(), Logistic(), np.zeros(3), prior=float(good) if share else 1.0)
+
+    keep = []
+    for view in ("text", "meta"):
+        n, ones = _counts(sample, view)
+        mean = share[False, 1] / (share[False, 1] + share[False, 0])
+        z = np.where(n >= LEAST, np.abs(ones - n * mean) / np.sqrt(np.maximum(n, 1) * mean * (1 - mean)), 0)
+        best = np.flatnonzero(z >= Z)
+        keep.append(np.sort(best[np.argsort(-z[best], kind="stable")[:MAX_FEATURES]]))
+    masks = []
+    for k in keep:
+        mask = np.zeros(DIM, bool)
+        mask[k] = True
+        masks.append(mask)
+    shared = docs.sparkSession.sparkContext.broadcast(masks)
+
+    def gathered(lessons: list[np.ndarray | None] | None) -> pa.Table:
+        """The sample with chosen features, or with the mean lesson of all features in place of features."""
+        taught = docs.sparkSession.sparkContext.broadcast(lessons)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for k, view in enumerate(("text", "meta")):
+                    lists = batch.column(view)
+                    ids, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+                    rows = Rows(ids, np.concatenate([[0], np.cumsum(size)]), np.zeros((batch.num_rows, 0)))
+                    if taught.value is None:
+                        kept = shared.value[k][ids]
+                        at = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(batch.num_rows), size)[kept], minlength=batch.num_rows))])
+                        out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids[kept])))
+                    else:
+                        out.append(pa.array(np.zeros(batch.num_rows) if taught.value[k] is None else rows.sums(taught.value[k]) / np.maximum(size, 1)))
+                yield pa.RecordBatch.from_arrays([batch.column("held"), batch.column("y"), batch.column("doc_id"), *out, batch.column("style")], names=["held", "y", "doc_id", "text", "meta", "style"])
+
+        kind = "array<int>" if lessons is None else "double"
+        fields = T.StructType.fromDDL(f"held boolean, y int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text {kind}, meta {kind}, style binary")
+        return sample.select(_is_held().alias("held"), "y", "doc_id", "text", "meta", "style").mapInArrow(run, fields).toArrow().sort_by("doc_id")
+
+    table = gathered(None)
+    held, y = table["held"].to_numpy(), table["y"].to_numpy().astype(np.float64)
+    train, kept = np.flatnonzero(~held), np.flatnonzero(held)
+    views = [_rows(table, view) for view in ("text", "meta")]
     del table
-    # one row per document: repeated rows of an id add nothing but room
-    first = {d: k for k, d in reversed(list(enumerate(got["doc_id"])))}
-    at = sorted(first.values())
-    text = [(np.frombuffer(got["hashed"][k], np.int32), np.frombuffer(got["style"][k], np.float64)) for k in at]
-    meta = [(np.frombuffer(got["meta"][k], np.int32), np.ones(1)) for k in at]
-    return co_train(text, meta, np.array([got["y"][k] for k in at], np.int64), rounds)
+    model = Model(Logistic(), Logistic(), np.zeros(3))
+    pool = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    lessons: list[np.ndarray | None] = [None, None]
+    for r in range(rounds + 1):
+        means = gathered(lessons)
+        logits = []
+        for k, (name, view) in enumerate(zip(("text", "meta"), views, strict=True)):
+            inputs = np.column_stack([view.dense, means[name].to_numpy(), np.ones(len(view))])
+            logistic = Logistic(lesson=lessons[k]).fit(view.take(train), inputs[train], y[train])
+            z = view.sums(logistic.w) + inputs @ logistic.v
+            logistic.scale = tuple(_logit_fit(z[kept][:, None], y[kept]))
+            logits.append(z[kept] * logistic.scale[0] + logistic.scale[1])
+            setattr(model, name, logistic)
+        if r == rounds:
+            break
+        right = y[kept].mean()
+        # documents that score like the one at the bound are in, whatever rounding does
+        model.sure = [(float(np.quantile(z, 1 - SURE * right)) - 1e-6, float(np.quantile(z, SURE * (1 - right))) + 1e-6) for z in logits]
+        told, counts = _exchange(pool, model)
+        model.exchanged.append(told)
+        lessons = [lesson(*c) for c in counts]
+    both = np.stack(logits, 1)
+    mix = _logit_fit(both, y[kept])
+    if mix[1] < 0:  # a view that would count against itself is left out
+        mix = np.insert(_logit_fit(both[:, :1], y[kept]), 1, 0.0)
+    model.mix = mix
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -250,22 +446,14 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts, sources, langs, sizes = (batch.column(c) for c in ("text", "source", "lang", "n_chars"))
-            parts = []
-            for k in range(0, batch.num_rows, 256):
-                at = range(k, min(k + 256, batch.num_rows))
-                text = [text_features(texts[i].as_py()) for i in at] if m.prior is None else [None] * len(at)
-                meta = [(meta_features(sources[i].as_py(), langs[i].as_py(), sizes[i].as_py()), np.ones(1)) for i in at]
-                parts.append(m.scores(text, meta))
-            p = np.round(np.concatenate(parts), 6)
-            keep = p[:, 2] >= threshold if m.prior is None else np.ones(len(p), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, c]) for c in range(3)), pa.array(keep)], names=[*names, *added])
-
-    return docs.select(names).mapInArrow(run, schema)
-
-
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds: int) -> DataFrame:
-    return score(docs, fit(docs, labels, **bounds), threshold)
+        for whole in batches:
+            for batch in _pieces(whole):
+                p = np.round(m.scores(*_views(batch)) if m.prior is None else np.full((batch.num_rows, 3), m.prior), 6)
+                keep = p[:, 2] >= threshold if m.prior is None else np.ones(len(p), bool)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, c]) for c in range(3)), pa.array(keep)], names=[*names, *added])
+
+    return docs.select(*[docs[f"`{c}`"] for c in names]).mapInArrow(run, schema)
+
+
+def classify(docs: DataFrame, labels: DataFrame, where: str, threshold: float = THRESHOLD, **bounds: int) -> DataFrame:
+    return score(docs, fit(docs, labels, where, **bounds), threshold)

@@ -27,7 +27,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), shared_dir(spark))
     return out.select("doc_id", "text_score", "meta_score", "score", "keep")
 
 

@@ -33,11 +33,12 @@ def corpus(n, seed=1):
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def test_held_out_accuracy(spark):
+def test_held_out_accuracy(spark, where):
     rows, labels = corpus(1500)
     docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels[:700], "doc_id long, quality int, toxic int")
-    model = quality.fit(docs, known, max_labelled=600, max_unlabelled=400)
-    assert model.exchanged and model.exchanged[0][0] > 20  # the text view has labelled for the other
+    model = quality.fit(docs, known, where, max_labelled=600)
+    # all others are the pool, the labels beyond the sample included
+    assert len(model.exchanged) == quality.ROUNDS and all(20 < n <= 900 for told in model.exchanged for n in told)
     got = {r["doc_id"]: r["keep"] for r in quality.score(docs, model).collect()}
     held = labels[700:]
     right = sum(got[d] == (q == 1 and t == 0) for d, q, t in held) / len(held)
@@ -45,28 +46,103 @@ def test_held_out_accuracy(spark):
     assert right > 0.97 and clean > 0.98
 
 
-def test_metadata_view_teaches_the_text_view():
-    rows, labels = corpus(800, 2)
-    text = [quality.text_features(t) for _, t, *_ in rows]
-    meta = [(quality.meta_features("dump" if not q or tox else "s1", "en", 1), np.ones(1)) for (_, q, tox) in labels]
-    y = np.array([int(q == 1 and t == 0) if d < 300 else -1 for d, q, t in labels])
-    assert quality.co_train(text, meta, y).exchanged[0][1] > 100
+def area(score, good):
+    """Share of pairs of a good and a bad document that the score puts in order."""
+    a, b = score[good][:, None], score[~good][None, :]
+    return float((a > b).mean() + (a == b).mean() / 2)
 
 
-def test_classifier_without_labels_or_classes(spark, odd_docs, no_docs):
+def test_co_training_on_the_given_table(spark, where):
+    """Fitted on two thirds of the labels, judged on the rest."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(3)) == 0
+    model = quality.fit(docs, labels.where(~held), where)
+    assert all(n > 100 for told in model.exchanged for n in told) and (model.mix[:2] > 0).all()
+    assert np.abs(model.text.lesson).max() > 0 and np.abs(model.meta.lesson).max() > 0
+    rows = quality.score(docs.join(labels.where(held), "doc_id"), model).toPandas()
+    good = ((rows["quality"] == 1) & (rows["toxic"] == 0)).to_numpy()
+    by_text, by_both = (area(rows[c].to_numpy(), good) for c in ("text_score", "score"))
+    assert by_both >= by_text and by_both > 0.97 and rows["keep"][good].mean() > 0.97 and rows["keep"][rows["quality"] == 0].mean() < 0.15
+
+
+def test_words_that_no_label_has_are_learnt(spark, where):
+    """Bad documents of one source hold words of their own; labels have the source, but none of the words."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for d in range(900):
+        bad = rng.random() < 0.3
+        words = [f"w{rng.randrange(100, 400)}" for _ in range(28)] + [f"w{rng.randrange(900, 906) if bad and d >= 300 else rng.randrange(100, 400)}" for _ in range(2)]
+        rng.shuffle(words)
+        rows.append((d, " ".join(words), "en", "dump" if bad else f"s{rng.randrange(3)}", 100))
+        labels += [(d, int(not bad), 0)] if d < 300 else []
+    model = quality.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), where)
+    text, _ = quality.both_views(["w900 w901", "w101 w102"], ["s1", "s1"], ["en", "en"], [100, 100])
+    seen, other = text.sums(model.text.lesson)
+    assert seen < -2 < other
+
+
+def plain_views(text, source, lang, n_chars):
+    """Distinct words and beginnings of a text, and its layout, one by one."""
+    import re
+
+    low, raw = text.lower().encode(), text.encode()
+    words = [w for w in re.split(rb"[\x00-\x20" + re.escape(b".,;:!?\"'()[]{}<>|#%$&*-_") + rb"]+", low) if w]
+    n_features = len(set(words)) + sum(len({w[:k] for w in set(words) if len(w) > k}) for k in quality.PREFIXES)
+    n, count = max(1, len(raw.split())), lambda marks: sum(raw.count(m.encode()) for m in marks)
+    lines, chars = raw.count(b"\n") + 1, len(raw)
+    style = [
+        n / 50, math.log1p(n) / 10, sum(map(len, words)) / max(1, len(words)) / 15, len(set(words)) / max(1, len(words)), count("#%$&*|<>{}\\^~") / n, count("|") / n, count("#%$&*|<>{}\\^~") / chars * 10,
+        len(re.findall(rb"[A-Z]", raw)) / chars * 2, count("!") / n, count("0123456789") / chars * 4, count(".,") / n, len(set(raw.split(b"\n"))) / lines, chars / lines / 400, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, n / lines / 80,
+    ]
+    return n_features, [min(1.0, x) for x in style]
+
+
+def test_views_match_a_plain_version(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 50 = 0").select("text", "source", "lang", "n_chars").collect()
+    rows = [tuple(r) for r in rows] + [(t, None, "en", None) for t in ("", None, " ", "İSTANBUL İ", "...", "a", "Wort, wörter. wort\n\n| x |", "😀 é\u2028b", "word " * 9000, "x" * 30_000)]
+    for chunk in (1 << 20, 300):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        text, meta = quality.both_views(*map(list, zip(*rows, strict=True)))
+        assert len(text) == len(meta) == len(rows)
+        for k, row in enumerate(rows):
+            if not row[0]:
+                assert text.at[k] == text.at[k + 1] and not meta.dense[k].any()
+                continue
+            n, style = plain_views(*row)
+            # two features of a text seldom share one of 2**18 numbers
+            assert n - 2 - n // 50 <= text.at[k + 1] - text.at[k] <= n, row
+            assert np.allclose(meta.dense[k], style), row
+    same = quality.both_views(["b a B. a"] * 2, ["s"] * 2, ["en"] * 2, [1] * 2)
+    assert all((v.ids[v.at[0] : v.at[1]] == v.ids[v.at[1] : v.at[2]]).all() for v in same)
+
+
+def test_scores_match_a_plain_version(spark, where):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels, where)
+    for r in quality.score(docs.where("doc_id % 50 = 0"), model).collect():
+        text, meta = quality.both_views([r["text"]], [r["source"]], [r["lang"]], [r["n_chars"]])
+        logits = []
+        for m, v in ((model.text, text), (model.meta, meta)):
+            z = sum(float(m.w[i]) for i in v.ids) + float(v.dense[0] @ m.v[: v.dense.shape[1]]) + m.v[-2] * sum(float(m.lesson[i]) for i in v.ids) / len(v.ids) + m.v[-1]
+            logits.append(z * m.scale[0] + m.scale[1])
+        z = logits[0] * model.mix[0] + logits[1] * model.mix[1] + model.mix[2]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-4) and r["keep"] == (r["score"] >= 0.5)
+
+
+def test_classifier_without_labels_or_classes(spark, odd_docs, no_docs, where):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(1, 1, 0), (2, 1, None), (None, 0, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
-    for labels in (none, one):
-        rows = quality.classify(odd_docs, labels).collect()
+    for k, labels in enumerate((none, one)):
+        rows = quality.classify(odd_docs, labels, f"{where}/{k}").collect()
         assert len(rows) == 10 and all(r["keep"] and r["score"] == 1.0 for r in rows)
-    assert quality.classify(no_docs, one).collect() == []
+    assert quality.classify(no_docs, one, where).collect() == []
 
 
-def test_classifier_on_odd_rows(spark):
+def test_classifier_on_odd_rows(spark, where):
     rows, labels = corpus(300)
     odd = [(900, None, None, None, None), (901, "", "", "", 0), (None, "x" * 50_000, "en", "s", 1), (902, "w " * 20_000, "en", "s", -5)] * 2
     docs = spark.createDataFrame(rows + odd, SCHEMA).withColumn("score", F.lit("old"))
-    out = quality.classify(docs, spark.createDataFrame(labels + labels[:3] + [(900, 0, 1)], "doc_id long, quality int, toxic int"))
+    out = quality.classify(docs, spark.createDataFrame(labels + labels[:3] + [(900, 0, 1)], "doc_id long, quality int, toxic int"), where)
     scores = Counter((r["doc_id"], r["score"]) for r in out.collect())
     assert sum(scores.values()) == 308 and len({k for k in scores if k[0] == 900}) == 1 and all(0 <= s <= 1 for _, s in scores)
 

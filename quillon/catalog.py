@@ -45,8 +45,8 @@ class Table:
     name: str
     columns: list[Column]
     next_row_id: int = 1
-    #: Parquet folder of the rows that a checkpoint has folded in, if any.
-    base: str | None = None
+    #: Parquet folders of the rows that checkpoints have folded in, in row-id order, and how many rows each has.
+    segments: list[tuple[str, int]] = field(default_factory=list)
     #: Set for external tables: the path that is read as it is.
     external: str | None = None
 
@@ -57,12 +57,12 @@ class Table:
         return T.StructType([T.StructField(ROW_ID, T.LongType(), False), *(T.StructField(c.name, DECLARABLE[c.kind], False) for c in self.columns)])
 
     def to_json(self) -> dict:
-        return {"name": self.name, "columns": [[c.name, c.kind.value] for c in self.columns], "next_row_id": self.next_row_id, "base": self.base}
+        return {"name": self.name, "columns": [[c.name, c.kind.value] for c in self.columns], "next_row_id": self.next_row_id, "segments": self.segments}
 
     @staticmethod
     def from_json(x: dict) -> Table:
         try:
-            return Table(x["name"], [Column(n, Kind(k)) for n, k in x["columns"]], x["next_row_id"], x["base"])
+            return Table(x["name"], [Column(n, Kind(k)) for n, k in x["columns"]], x["next_row_id"], [(str(path), int(rows)) for path, rows in x["segments"]])
         except (KeyError, TypeError, ValueError) as e:
             raise Corrupted(f"table entry: {e}") from None
 

@@ -1,8 +1,9 @@
-"""Bitmap indexes and algebra on row sets.
+"""Bitmap indexes, algebra on row sets, and scans of a table through them.
 
 An index is a DataFrame (key, bucket, bits): for each key and each run of 32,768 rows a bitmap, built
-by Spark's bitmap aggregates with partial aggregation, so no row list is ever collected. Row sets
-are DataFrames with one column ``row``; operations on them are joins and unions that Spark plans.
+by Spark's bitmap aggregates with partial aggregation, so no row list is ever collected. A row set is a
+DataFrame (bucket, bits); operations on sets join or aggregate whole bitmaps by bucket, at most one per 32,768 rows, and
+``positions`` decodes the last one only.
 """
 
 from __future__ import annotations
@@ -43,21 +44,20 @@ def positions(bitmaps: DataFrame) -> DataFrame:
 
 def lookup(index: DataFrame, key: object) -> DataFrame:
     """Row set of a key; empty for an absent one."""
-    return positions(index.where(F.col("key") == key))
+    return index.where(F.col("key") == key).select("bucket", "bits")
 
 
 def any_of(index: DataFrame, keys: Sequence[object]) -> DataFrame:
     """Rows under at least one key."""
     some = index.where(F.col("key").isin(list(keys))) if keys else index.limit(0)
-    return positions(some.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+    return some.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def all_of(index: DataFrame, keys: Sequence[object]) -> DataFrame:
     """Rows under every key; none for no keys."""
     keys = list(dict.fromkeys(keys))
     some = index.where(F.col("key").isin(keys)) if keys else index.limit(0)
-    both = some.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
-    return positions(both.where(F.col("n") == len(keys)))
+    return _common(some.select("bucket", "bits"), len(keys))
 
 
 def count_rows(index: DataFrame, key: object) -> DataFrame:
@@ -94,24 +94,65 @@ def scan_and_keys(pairs: DataFrame, row: str, key: str, keys: Sequence[object])
     return scan_and(out, *[F.col(f"_k{i}") == 1 for i in range(len(keys))]).select(row)
 
 
+# scans of a table through an index. Rows come in no order; ids that the table lacks are skipped
+
+def scan_set(df: DataFrame, row: str, rows: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id, the column ``row``, is in the set ``rows``."""
+    return df.join(positions(rows).withColumnRenamed("row", row), row, "left_semi").select(df.columns)
+
+
+def scan_by_index(df: DataFrame, row: str, index: DataFrame, key: object) -> DataFrame:
+    return scan_set(df, row, lookup(index, key))
+
+
+def scan_by_index_or(df: DataFrame, row: str, index: DataFrame, keys: Sequence[object]) -> DataFrame:
+    return scan_set(df, row, any_of(index, keys))
+
+
+def scan_by_index_and(df: DataFrame, row: str, index: DataFrame, keys: Sequence[object]) -> DataFrame:
+    return scan_set(df, row, all_of(index, keys))
+
+
 # algebra on row sets
 
-def set_and(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("row").intersect(b.select("row"))
+def row_set(rows: DataFrame, row: str = "row") -> DataFrame:
+    return build_index(rows.select(F.lit(0).alias("key"), F.col(row).alias("row")), "key", "row").select("bucket", "bits")
 
 
-def set_or(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("row").union(b.select("row")).distinct()
+def _common(bitmaps: DataFrame, n: int) -> DataFrame:
+    """Rows in ``n`` of as many sets, whose bitmaps are given together."""
+    both = bitmaps.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+    return both.where(F.col("n") == n).select("bucket", "bits")
 
 
-def set_not(a: DataFrame, length: int) -> DataFrame:
-    """Rows below ``length`` that are not in ``a``."""
-    return a.sparkSession.range(length).select(F.col("id").alias("row")).join(a.select("row"), "row", "left_anti")
+def set_and(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _common(a.unionByName(b), 2)
+
+
+def set_or(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def set_not(a: DataFrame, length: DataFrame | int) -> DataFrame:
+    """Rows below ``length``, a number or a frame of one such as ``total_rows``, that are not in ``a``."""
+    spark = a.sparkSession
+    if isinstance(length, int):
+        length = spark.range(1).select(F.lit(length).cast("bigint").alias("total_rows"))
+    last = F.floor((F.col("total_rows") - 1) / BUCKET_BITS).cast("bigint")
+    at = F.explode(F.when(F.col("total_rows") > 0, F.sequence(F.lit(0).cast("bigint"), last)))
+    buckets = length.select("total_rows", at.alias("k")).select((F.col("k") + 1).alias("bucket"), F.least(F.lit(BUCKET_BITS), F.col("total_rows") - F.col("k") * BUCKET_BITS).cast("int").alias("n"))
+    # the bitmap of the first n rows in hexadecimal; rows count from the low bit of each byte
+    edge = F.get(F.array(*[F.lit(x) for x in ("", "01", "03", "07", "0F", "1F", "3F", "7F")]), F.col("n") % 8)
+    every = F.rpad(F.concat(F.repeat(F.lit("FF"), F.floor(F.col("n") / 8).cast("int")), edge), BUCKET_BITS // 4, "0")
+    flipped = F.unhex(F.translate(F.hex("bits"), "0123456789ABCDEF", "FEDCBA9876543210"))
+    every = buckets.select("bucket", F.unhex(every).alias("bits"))
+    others = a.join(every.select("bucket"), "bucket", "left_semi").select("bucket", flipped.alias("bits"))
+    return every.unionByName(others).groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
 
 
 def set_count(a: DataFrame) -> DataFrame:
-    return a.agg(F.count_distinct("row").alias("count"))
+    return a.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("count"))
 
 
 def set_iterate(a: DataFrame) -> DataFrame:
-    return a.select("row").distinct().orderBy("row")
+    return positions(a).orderBy("row")

@@ -44,18 +44,27 @@ def empty_scan(df: DataFrame) -> DataFrame:
 
 
 def keyed_append(df: DataFrame, target: str, key: str) -> None:
-    """Append rows to a Parquet folder whose ``key`` is unique; a repeated key raises and writes nothing."""
-    twice = df.groupBy(key).count().where("count > 1").select(key)
+    """Append rows to a Parquet folder whose ``key`` is unique; a repeated key raises and writes nothing.
+
+    ``df`` is evaluated once, and of the target only keys within the new ones' range are read. A folder of Parquet has no
+    lock: writers of one target must take turns.
+    """
+    df = df.persist()
     try:
-        stored = df.sparkSession.read.schema(df.schema).parquet(target)
-        twice = twice.union(df.select(key).join(stored.select(key), key, "left_semi"))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    clash = twice.take(1)
-    if clash:
-        raise DuplicateKey(clash[0][0])
-    df.write.mode("append").parquet(target)
+        twice = df.groupBy(key).count().where("count > 1").select(key)
+        try:
+            stored = df.sparkSession.read.schema(df.schema).parquet(target)
+            low, high = df.agg(F.min(key), F.max(key)).first()
+            twice = twice.union(df.select(key).join(stored.where(F.col(key).between(low, high)).select(key), key, "left_semi"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        clash = twice.take(1)
+        if clash:
+            raise DuplicateKey(clash[0][0])
+        df.write.mode("append").parquet(target)
+    finally:
+        df.unpersist()
 
 
 def bulk_load(df: DataFrame, target: str, key: str) -> None:

@@ -71,6 +71,15 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return bitmap.build_index(_table(spark, d, "lineitem"), "l_returnflag", "l_orderkey")
 
 
+def _found(rows: DataFrame) -> DataFrame:
+    return bitmap.positions(rows)
+
+
+def _scan(scan_by: Callable[..., DataFrame], keys: object) -> Query:
+    """Orders through an index of their line items' flags."""
+    return lambda spark, d: scan_by(_table(spark, d, "orders"), "o_orderkey", _index(spark, d), keys).select("o_orderkey", "o_custkey")
+
+
 def _columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
@@ -86,9 +95,9 @@ def join_m_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_empty(spark: SparkSession, d: str) -> DataFrame:
-    a = scan.range_scan(_table(spark, d, "orders"), "o_orderkey", 0, 9)
-    b = scan.range_scan(_table(spark, d, "lineitem"), "l_orderkey", 100, 109)
-    return join.hash_join(a, b, "o_orderkey", "l_orderkey").select("o_orderkey", "l_orderkey")
+    """Keys that cannot meet: those of orders are negated and less one."""
+    a, b = _table(spark, d, "orders"), _table(spark, d, "lineitem")
+    return join.hash_join(a, b, -a["o_orderkey"] - 1, b["l_orderkey"]).select("o_orderkey", "l_orderkey")
 
 
 def join_expr_key(spark: SparkSession, d: str) -> DataFrame:
@@ -120,22 +129,25 @@ OPERATORS: dict[str, tuple[Query, str]] = {
     "sort_external": (lambda s, d: _columns(sort.external_sort(_table(s, d, "orders"), "o_orderkey"), "o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders"),
     "hash_join_1_1": (join_1_1, "SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey"),
     "hash_join_m_n": (join_m_n, "SELECT l_orderkey, l_linenumber, l_quantity, o_custkey, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),
-    "hash_join_empty": (join_empty, "SELECT o_orderkey, l_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey <= 9 AND l_orderkey BETWEEN 100 AND 109"),
+    "hash_join_empty": (join_empty, "SELECT o_orderkey, l_orderkey FROM orders JOIN lineitem ON -o_orderkey - 1 = l_orderkey"),
     "hash_join_expr_key": (join_expr_key, "SELECT n_name, s_suppkey, s_name FROM nation JOIN supplier ON n_nationkey * 2 = s_nationkey + 1"),
     "scan_sort_join": (scan_sort_join, "SELECT n_nationkey, n_name, s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey"),
     "bitmap_eq": (lambda s, d: _columns(bitmap.scan_equal(_table(s, d, "lineitem"), "l_returnflag", "R"), "l_orderkey", "l_linenumber", "l_returnflag"), "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'R'"),
     "bitmap_or": (lambda s, d: _columns(bitmap.scan_or(_table(s, d, "lineitem"), "l_returnflag", ["A", "N"]), "l_orderkey", "l_linenumber", "l_returnflag"), "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag IN ('A', 'N')"),
     "bitmap_and_cols": (lambda s, d: _columns(bitmap.scan_and(_table(s, d, "lineitem"), F.col("l_returnflag") == "N", F.col("l_linestatus") == "O"), "l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'O'"),
     "bitmap_and_multikey": (lambda s, d: bitmap.scan_and_keys(_table(s, d, "lineitem"), "l_orderkey", "l_returnflag", ["A", "R"]), "SELECT l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 2"),
-    "bitmap_index_lookup": (lambda s, d: bitmap.lookup(_index(s, d), "R"), "SELECT DISTINCT l_orderkey AS row FROM lineitem WHERE l_returnflag = 'R'"),
-    "bitmap_index_or": (lambda s, d: bitmap.any_of(_index(s, d), ["A", "N"]), "SELECT DISTINCT l_orderkey AS row FROM lineitem WHERE l_returnflag IN ('A', 'N')"),
-    "bitmap_index_and": (lambda s, d: bitmap.all_of(_index(s, d), ["A", "R"]), "SELECT l_orderkey AS row FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 2"),
+    "bitmap_index_lookup": (lambda s, d: _found(bitmap.lookup(_index(s, d), "R")), "SELECT DISTINCT l_orderkey AS row FROM lineitem WHERE l_returnflag = 'R'"),
+    "bitmap_index_or": (lambda s, d: _found(bitmap.any_of(_index(s, d), ["A", "N"])), "SELECT DISTINCT l_orderkey AS row FROM lineitem WHERE l_returnflag IN ('A', 'N')"),
+    "bitmap_index_and": (lambda s, d: _found(bitmap.all_of(_index(s, d), ["A", "R"])), "SELECT l_orderkey AS row FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 2"),
     "bitmap_index_count": (lambda s, d: bitmap.count_rows(_index(s, d), "N"), "SELECT count(DISTINCT l_orderkey) AS count FROM lineitem WHERE l_returnflag = 'N'"),
     "bitmap_num_values": (lambda s, d: bitmap.num_values(_index(s, d)), "SELECT count(DISTINCT l_returnflag) AS num_values FROM lineitem"),
     "bitmap_total_rows": (lambda s, d: bitmap.total_rows(_table(s, d, "orders"), "o_orderkey"), "SELECT max(o_orderkey) + 1 AS total_rows FROM orders"),
-    "bitset_and": (lambda s, d: bitmap.set_and(_orders_rows(s, d, "o_orderpriority", PRIORITY), _orders_rows(s, d, "o_orderstatus", "F")), f"SELECT o_orderkey AS row FROM orders WHERE o_orderpriority = '{PRIORITY}' INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"),
-    "bitset_or": (lambda s, d: bitmap.set_or(_orders_rows(s, d, "o_orderpriority", PRIORITY), _orders_rows(s, d, "o_orderstatus", "F")), f"SELECT o_orderkey AS row FROM orders WHERE o_orderpriority = '{PRIORITY}' UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"),
-    "bitset_not": (lambda s, d: bitmap.set_not(_orders_rows(s, d, "o_orderstatus", "F"), 1000), "SELECT range AS row FROM range(1000) EXCEPT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"),
+    "bitmap_scan_eq": (_scan(bitmap.scan_by_index, "R"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
+    "bitmap_scan_or": (_scan(bitmap.scan_by_index_or, ["A", "R"]), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'R'))"),
+    "bitmap_scan_and": (_scan(bitmap.scan_by_index_and, ["A", "R"]), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
+    "bitset_and": (lambda s, d: _found(bitmap.set_and(_orders_rows(s, d, "o_orderpriority", PRIORITY), _orders_rows(s, d, "o_orderstatus", "F"))), f"SELECT o_orderkey AS row FROM orders WHERE o_orderpriority = '{PRIORITY}' INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"),
+    "bitset_or": (lambda s, d: _found(bitmap.set_or(_orders_rows(s, d, "o_orderpriority", PRIORITY), _orders_rows(s, d, "o_orderstatus", "F"))), f"SELECT o_orderkey AS row FROM orders WHERE o_orderpriority = '{PRIORITY}' UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"),
+    "bitset_not": (lambda s, d: _found(bitmap.set_not(_orders_rows(s, d, "o_orderstatus", "F"), bitmap.total_rows(_table(s, d, "orders"), "o_orderkey"))), "SELECT range AS row FROM range((SELECT max(o_orderkey) + 1 FROM orders)) EXCEPT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"),
     "bitset_count": (lambda s, d: bitmap.set_count(_orders_rows(s, d, "o_orderstatus", "F")), "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'F'"),
     "bitset_iterate": (lambda s, d: bitmap.set_iterate(_orders_rows(s, d, "o_orderstatus", "P")), "SELECT o_orderkey AS row FROM orders WHERE o_orderstatus = 'P'"),
     "txn_visible_after_commit": (txn_visible_after_commit, "SELECT * FROM (VALUES (1, 'alice'), (2, 'it''s'), (-3, '')) AS t(id, name)"),

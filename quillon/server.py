@@ -11,7 +11,7 @@ import socketserver
 from pyspark.sql import SparkSession
 
 from quillon.engine import Done, Engine, Inserted, Result, Session
-from quillon.errors import DbError
+from quillon.errors import DbError, InternalError
 
 
 def render(value: object) -> str:
@@ -61,6 +61,8 @@ class Connection(socketserver.StreamRequestHandler):
                 reply = encode_result(self.server.engine.execute(sql, session))
             except DbError as e:
                 reply = encode_error(str(e))
+            except Exception as e:  # whatever fails in Spark or on disk; the session goes on
+                reply = encode_error(str(InternalError(f"{type(e).__name__}: {e}")))
             try:
                 self.wfile.write(reply)
             except OSError:

@@ -22,12 +22,24 @@ def test_conversation(server):
     assert c.execute("SELECT V, id FROM t") == [["v", "id"], ["é", "1"]]
     error = c.execute("SELECT * FROM nowhere")
     assert isinstance(error, ServerError) and str(error) == "Table 'nowhere' does not exist"
+    for sql in ("SELECT * FROM t WHERE id = " + "9" * 5000, "INSERT INTO t VALUES (" + "0" * 5000 + "2147483648)"):
+        assert isinstance(c.execute(sql), ServerError)
     assert c.execute("BEGIN") == "OK" and c.execute("INSERT INTO t VALUES (2, 'b')") == 1
     c.close()  # rolls back
     assert other.execute("SELECT id FROM t") == [["id"], ["1"]]
     other.close()
 
 
+def test_any_failure_is_answered(server, monkeypatch):
+    c = Client(port=server)
+    c.execute("CREATE TABLE t (id INT)")
+    monkeypatch.setattr(Engine, "execute", lambda *_: 1 / 0)
+    assert str(c.execute("SELECT * FROM t")) == "Internal error: ZeroDivisionError: division by zero"
+    monkeypatch.undo()
+    assert c.execute("SELECT * FROM t") == [["id"]]
+    c.close()
+
+
 def test_rendering():
     assert [render(x) for x in (True, -3, "a")] == ["true", "-3", "a"]
     assert encode_error("a\r\nb") == b"-ERR a  b\r\n"

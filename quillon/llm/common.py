@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Shuffle files go at the end of each write, not when the driver happens to collect garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Lets a join on (part, row) use a table bucketed by part alone.
+PARTIAL_KEYS = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 _fallback_dir: str | None = None
 
 
@@ -56,6 +58,28 @@ def materialize(df: DataFrame, where: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+@contextmanager
+def stored_rows(docs: DataFrame, where: str, without: tuple[str, ...] = ()) -> Iterator[tuple[DataFrame, list[str], list[str]]]:
+    """``docs`` as a table with numbers ``_row`` and ``_part``, its columns' names, and those they stand for.
+
+    The table is bucketed by scan partition, so it is written without a shuffle, and what is known of a row can join it in place. Its names can't clash with the
+    caller's: ``id`` is doc_id, ``text`` is text. It lasts as long as the context.
+    """
+    spark = docs.sparkSession
+    kept = [c for c in docs.columns if c not in without]
+    inner = [{"doc_id": "id", "text": "text"}.get(c, f"c{k}") for k, c in enumerate(kept)]
+    rows = docs.select(*[docs[f"`{c}`"].alias(i) for c, i in zip(kept, inner, strict=True)])
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33))
+    name = f"quillon_rows_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, "_part").option("path", f"{where}/rows").option("compression", "zstd").format("parquet").saveAsTable(name)
+    try:
+        yield spark.table(name), inner, kept
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, f"{where}/rows")
+
+
 def remove(spark: SparkSession, *folders: str) -> None:
     """Delete written tables that nothing will read again."""
     jvm = spark.sparkContext._jvm

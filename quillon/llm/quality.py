@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import materialize
+from quillon.llm.neighbours import U, mixed
 
 BITS = 18
 DIM = 1 << BITS
@@ -53,7 +54,6 @@ PREFIXES = (4, 5, 6)
 CHUNK = 1 << 20
 #: Features are counted by slices of this many.
 SLICE = 1 << 12
-U = np.uint64
 TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, U) * U(2) + U(1)
 POWER = U(0xD6E8FEB86659FD93)
 #: Bytes between words: blanks and marks, which words are split at.
@@ -63,13 +63,6 @@ CLASSES = {"line": "\n", "bar": "|", "mark": "!", "stop": ".,", "digit": "012345
 KIND = np.array([sum((chr(c) in s) << k for k, s in enumerate(CLASSES.values())) for c in range(128)] + [0] * 128, np.uint8)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A permutation of 64-bit numbers whose every bit depends on all (the finaliser of SplitMix64)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 @dataclass
 class Rows:
     """Hashed features of documents, those of document k from ``at[k]`` to ``at[k + 1]``, and dense ones."""

@@ -33,28 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm import jaccard
 from quillon.llm.common import connected_components, materialize
+from quillon.llm.shingles import shingle_hashes
 
 CELL = 32
 BLOCK, RADIUS, BLOCKS = 23, 3, 2
 #: Generator polynomial of the binary Golay code (fixed value).
 GOLAY = 0b101011100011
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """XXH64 with seed 42 of each run of ``size`` words; of all words if there are fewer."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode().translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) <= size:
-        return np.array([xxh64_intdigest(b" ".join(words), 42)], np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-size] + 1]).tolist()
-    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -185,3 +171,8 @@ def near_duplicates(docs: DataFrame, where: str, size: int = 3, threshold: int =
     named = rooted.join(least, "root").where("copies > 1 or component is distinct from first").select("fp", "component")
     named = materialize(named, f"{where}/named")
     return marks.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, where: str, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, of each group of similar ones that with the least (doc_id, row), a null doc_id last."""
+    return jaccard.keep_one(docs, where, size, similarity)

@@ -6,7 +6,7 @@ the floating-point predictor, and crops and interleaves what it gets into rows o
 
 ``decode_pages`` works on a binary column of any DataFrame. A null or empty value, and a file
 that is broken or uses a compression not named above, gives one row with ``page`` null and the
-reason in ``error``; damaged later pages keep the earlier ones. Repeated rows give repeated
+reason in ``error``; damaged later pages keep the earlier ones. Whatever bytes a value has, it gives rows, not a failure. Repeated rows give repeated
 pages, further columns pass through, an empty table gives an empty result. Memory is bounded by
 one file's pages at a time.
 """
@@ -31,6 +31,10 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CODECS = {"none": NONE, "lzw": LZW, "deflate": DEFLATE, "packbits": PACKBITS}
 
 
+#: Bytes that one of any of the codecs stands for at most: LZW's longest string by its longest code, and eight samples a byte.
+MOST_EXPANDED = 4096 * 8
+
+
 class TiffError(ValueError):
     pass
 
@@ -229,8 +233,11 @@ def read_page(data: bytes, tags: dict) -> np.ndarray:
     planes, within = (spp, 1) if planar == 2 and spp > 1 else (1, spp)
     if len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise TiffError("strips or tiles are missing")
-    if width * height * spp * dtype.itemsize > 1 << 31:
-        raise TiffError("a page of over 2 GB")
+    size = width * height * spp * dtype.itemsize
+    if size >= 1 << 31:
+        raise TiffError("a page of over 2 GB, which no binary value can hold")
+    if size > MOST_EXPANDED * len(data):
+        raise TiffError("more samples than the file can hold")
     out = np.empty((height, width, spp), dtype)
     for plane in range(planes):
         for k in range(across * down):
@@ -321,7 +328,7 @@ def pages_of(data: bytes | None) -> Iterator[tuple]:
             image = read_page(data, tags)
             yield k, image.shape[1], image.shape[0], image.shape[2], image.dtype.name, image.tobytes(), float(image.mean(dtype=np.float64)), float(image.std(dtype=np.float64)), None
             k += 1
-    except (TiffError, zlib.error, MemoryError) as e:
+    except (ValueError, TypeError, ArithmeticError, LookupError, MemoryError, struct.error, zlib.error) as e:  # TiffError, and what damaged tags bring about
         yield None, None, None, None, None, None, None, None, str(e)[:200] or type(e).__name__
 
 

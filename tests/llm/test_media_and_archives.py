@@ -71,6 +71,118 @@ def test_decode_pages(spark):
     assert tiff.decode_pages(df.limit(0), "media").collect() == []
 
 
+def test_known_packed_bits():
+    # the example of Apple's technical note 1023
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert tiff.unpack_bits(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+
+
+def foreign(compression, predictor, pieces, layout, order=">"):
+    """A file laid out as other writers do: the directory first, pieces in reverse, odd tag types, unknown tags."""
+    n = len(pieces)
+    tags = [(254, 4, [0]), (256, 3, [16]), (257, 4, [16]), (258, 3, [8]), (259, 3, [compression]), (262, 3, [1]), (270, 2, list(b"made elsewhere\0")), (277, 3, [1]), (305, 2, list(b"x\0")), (317, 3, [predictor]), (65000, 99, [1])]
+    tags += [(t, k, v if v is not None else [0] * n) for t, k, v in layout]
+    size = {2: 1, 3: 2, 4: 4, 99: 4}
+    tags.sort()
+    where = 8 + 2 + 12 * len(tags) + 4
+    extra = b""
+    after = where + sum(size[k] * len(v) for _, k, v in tags if size[k] * len(v) > 4)
+    offsets, at = [0] * n, after
+    for k in reversed(range(n)):
+        offsets[k], at = at, at + len(pieces[k])
+    body = b""
+    for tag, kind, values in tags:
+        values = offsets if tag in (273, 324) else [len(p) for p in pieces] if tag in (279, 325) else values
+        raw = struct.pack(order + {1: "B", 2: "H", 4: "I"}[size[kind]] * len(values), *values)
+        if len(raw) > 4:
+            body += struct.pack(order + "HHII", tag, kind, len(values), where + len(extra))
+            extra += raw
+        else:
+            body += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    head = (b"MM" if order == ">" else b"II") + struct.pack(order + "HI", 42, 8) + struct.pack(order + "H", len(tags)) + body + bytes(4)
+    return head + extra + b"".join(pieces[k] for k in reversed(range(n)))
+
+
+def plain_lzw(data):
+    """A coder that clears its table at every 100th code and writes bits as text."""
+    bits, table, size, codes = f"{256:09b}", {bytes([k]): k for k in range(256)}, 258, 0
+    omega = b""
+    for k in range(len(data)):
+        one = data[k : k + 1]
+        if omega + one in table:
+            omega += one
+            continue
+        width = 9 if size < 511 else 10
+        bits += f"{table[omega]:0{width}b}"
+        table[omega + one], size, omega, codes = size, size + 1, one, codes + 1
+        if codes % 100 == 0:
+            bits += f"{table[omega]:0{9 if size < 511 else 10}b}"
+            size += 1
+            bits += f"{256:0{9 if size < 511 else 10}b}"
+            table, size, omega = {bytes([k]): k for k in range(256)}, 258, b""
+    if omega:
+        bits += f"{table[omega]:0{9 if size < 511 else 10}b}"
+        size += 1
+    bits += f"{257:0{9 if size < 511 else 10}b}"
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+@pytest.mark.parametrize("order", [">", "<"])
+def test_files_of_other_writers(order):
+    page = np.add.outer(np.arange(16), 3 * np.arange(16)).astype(np.uint8) // 5
+    differ = np.concatenate([page[:, :1], np.diff(page, axis=1)], 1).astype(np.uint8)
+    strips = lambda p: [p[k : k + 5].tobytes() for k in range(0, 16, 5)]
+    tiles = lambda p: [p[y : y + 16, x : x + 8].ravel() for y in (0,) for x in (0, 8)]
+    by_strip, by_tile = [(273, 4, None), (278, 3, [5]), (279, 3, None)], [(322, 3, [8]), (323, 3, [16]), (324, 4, None), (325, 4, None)]
+    literal = lambda raw: b"".join(bytes([len(raw[k : k + 100]) - 1]) + raw[k : k + 100] + b"\x80" for k in range(0, len(raw), 100))
+    tile_differ = [np.concatenate([t.reshape(16, 8)[:, :1], np.diff(t.reshape(16, 8), axis=1)], 1).astype(np.uint8).tobytes() for t in tiles(page)]
+    files = [
+        foreign(1, 1, strips(page), by_strip, order), foreign(32773, 1, list(map(literal, strips(page))), by_strip, order), foreign(5, 2, list(map(plain_lzw, strips(differ))), by_strip, order),
+        foreign(8, 2, [zlib.compress(x, 9) for x in tile_differ], by_tile, order), foreign(32946, 1, [zlib.compress(x.tobytes()) for x in tiles(page)], by_tile, order),
+    ]
+    for data in files:
+        got = decoded(data)
+        assert len(got) == 1 and np.array_equal(got[0][:, :, 0], page)
+
+
+def test_damaged_files_give_rows():
+    rng = np.random.default_rng(9)
+    whole = [tiff.encode([image(9, 13, 1, "u1"), image(4, 4, 2, "f4")], c, big=big, **kw) for c in tiff.CODECS for big in (False, True) for kw in ({}, {"tile": (16, 16)})]
+    whole += [struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16), b"II\x2b\0\x08\0\0\0", foreign(1, 1, [b"x" * 256], [(273, 4, None), (278, 3, [16]), (279, 3, None)])]
+    n_errors = 0
+    for k in range(1000):
+        data = bytearray(whole[k % len(whole)])
+        for _ in range(rng.integers(1, 6)):
+            data[rng.integers(len(data))] = rng.integers(256)
+        if k % 3 == 0:
+            data = data[: rng.integers(len(data) + 1)]
+        rows = list(tiff.pages_of(bytes(data)))
+        assert all((r[0] is None) == (r[8] is not None) for r in rows) and all(r[5] is None or len(r[5]) <= tiff.MOST_EXPANDED * len(data) for r in rows)
+        n_errors += any(r[8] is not None for r in rows)
+    assert 300 < n_errors < 1000
+    for data in whole[-3:-1]:
+        assert [r[0] for r in tiff.pages_of(data)] in ([None], [])
+
+
+def test_the_query_matches_a_plain_version(spark):
+    from quillon.llm.queries import op6_tiff
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op6_tiff(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        pixels = np.frombuffer(payload, np.uint8)
+        media = tiff.encode([pixels.reshape(-1, 64)])
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        shape, kind, mean, deviation = r["feature"].split()
+        assert tuple(r)[1:7] == want and (shape, kind) == (f"64x{len(payload) // 64}x1", "uint8"), r["doc_id"]
+        # halves of the last digit are rounded either way
+        assert float(mean.removeprefix("mean=")) == pytest.approx(pixels.mean(), abs=1e-6) and float(deviation.removeprefix("deviation=")) == pytest.approx(pixels.std(), abs=1e-6)
+
+
 def test_stored_texts(odd_docs, no_docs):
     out = tiff.decode_pages(tiff.encode_bytes(odd_docs, "text", "doc_id"), "media").collect()
     want = sorted(((t or "").encode() for t in [r["text"] for r in odd_docs.collect()]), key=len)

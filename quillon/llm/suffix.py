@@ -12,11 +12,15 @@ smaller id. All suffixes would be a hundred times the input, so the array is spa
   into chunks of about ``CHUNK`` bytes, as a bucketed table that later passes join without a shuffle.
 * Grams that only one text holds are excluded by their hashes, packed per chunk and hash range,
   before any suffix is sent. Equal suffixes of a chunk are sent once, with the least and largest id.
-* Sampled splitters range-partition the suffixes by their first GRAM bytes; grams that the sample finds
-  in more than ``BUCKET_ROWS`` suffixes go apart, there equal suffixes of all chunks become one, by partial
-  aggregation, before a gram's are compared, and the runs are joined back. Equal leading bytes
+* Sampled splitters range-partition the suffixes by their first GRAM bytes, ``SPLITTERS`` of them at most; where that leaves ranges of more
+  than ``BUCKET_ROWS`` suffixes, each is dealt out by a hash of the gram. Equal leading bytes
   never straddle a boundary, so neighbours across a boundary share less than a gram and no
-  string. Each bucket is sorted by multikey quicksort, 8 bytes at a time and only within ties; the
+  string.
+* Grams that the sample finds in more than ``HOT_ROWS`` suffixes go apart. There equal suffixes of all chunks become one, by partial
+  aggregation, and are compared twice, with those that share ``FURTHER`` more bytes to the right and with those that share as many to the left: a string
+  of LENGTH bytes has so many beyond the gram on one of its sides. Groups that are still larger than ``HOT_ROWS`` become
+  their single strings, whose least ids are a partial aggregate. The runs are joined back.
+* Each bucket is sorted by multikey quicksort, 8 bytes at a time and only within ties; the
   common prefixes of neighbours, to the right and, from a second sort, to the left, give for each
   of the LENGTH - GRAM + 1 strings around an anchor the groups of equals and their least id.
 * Runs of such strings with a smaller id go back to their chunks, whose texts drop the bytes.
@@ -45,7 +49,9 @@ LENGTH, GRAM = 50, 24
 CHUNK = 6 << 20
 PART_BYTES = 16 << 20
 MIN_PART_BITS = 8
-BUCKET_ROWS = 100_000
+BUCKET_ROWS, HOT_ROWS = 20_000, 100_000
+SPLITTERS = 20_000
+FURTHER = (LENGTH - GRAM) // 2
 SEGMENT = 1 << 20
 THIN = 64
 LAST = (1 << 63) - 1
@@ -202,7 +208,7 @@ class Suffixes:
         np.maximum.at(self.most, self.number, doc)
 
 
-SUFFIX = "bucket int, chunk long, number int, context binary, least long, most long"
+SUFFIX = "bucket long, chunk long, number int, context binary, least long, most long"
 
 
 def _chunk(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
@@ -210,8 +216,8 @@ def _chunk(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return _unpacked(table["blob"].to_pylist()), table["doc"].to_numpy()
 
 
-def _suffixes(texts: DataFrame, flags: DataFrame, part_bits: int, splitters: list[bytes], hot: list[bytes], thin: int = 1) -> DataFrame:
-    """``SUFFIX`` rows, or a sample of one in ``thin``; the bucket of ``hot`` grams is -1."""
+def _suffixes(texts: DataFrame, flags: DataFrame, part_bits: int, splitters: list[bytes], hot: list[bytes], lanes: int = 1, thin: int = 1) -> DataFrame:
+    """``SUFFIX`` rows, or a sample of one in ``thin``; each range between splitters has ``lanes`` buckets; that of ``hot`` grams is -1."""
     shared = texts.sparkSession.sparkContext.broadcast((splitters, hot))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -224,7 +230,8 @@ def _suffixes(texts: DataFrame, flags: DataFrame, part_bits: int, splitters: lis
         rows = s.rows[::thin] if s else np.empty((0, 78), np.uint8)
         n = len(rows)
         key = np.ascontiguousarray(rows[:, LENGTH - GRAM : LENGTH]).view(f"S{GRAM}").ravel() if n else np.empty(0, f"S{GRAM}")
-        bucket = np.where(np.isin(key, apart), -1, np.searchsorted(cuts, key, side="right")).astype(np.int32)
+        lane = _lanes(rows[:, LENGTH - GRAM : LENGTH], lanes)
+        bucket = np.where(np.isin(key, apart), -1, np.searchsorted(cuts, key, side="right") * lanes + lane)
         width = rows.shape[1]
         context = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
         chunk = left["chunk"][0].as_py() if left.num_rows else 0
@@ -233,6 +240,15 @@ def _suffixes(texts: DataFrame, flags: DataFrame, part_bits: int, splitters: lis
     return texts.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(run, SUFFIX)
 
 
+def _lanes(grams: np.ndarray, lanes: int) -> np.ndarray:
+    words = np.ascontiguousarray(grams).view(np.uint64).reshape(len(grams), GRAM // 8)
+    h = words[:, 0]
+    for k in range(1, words.shape[1]):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[:, k]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return ((h >> np.uint64(20)) % np.uint64(lanes)).astype(np.int64)
+
+
 def multikey_sort(rows: np.ndarray) -> np.ndarray:
     """The order of rows of bytes: by 8 bytes at a time, going on only within ties."""
     n, width = rows.shape
@@ -267,11 +283,16 @@ def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Distances to the anchor of strings that hold ``FURTHER`` bytes beyond the gram to the right, and of the others, which hold as many to the left.
+SIDES = (range(LENGTH - GRAM - FURTHER + 1), range(LENGTH - GRAM - FURTHER + 1, LENGTH - GRAM + 1))
 RUN = "chunk long, number int, low int, high int, doc long"
 
 
 def _compare(suffixes: DataFrame) -> DataFrame:
-    """For each suffix the runs of strings, by their distance to the anchor, that also occur in ``doc``, a smaller id."""
+    """For each suffix the runs of strings, by their distance to the anchor, that also occur in ``doc``, a smaller id.
+
+    A bucket of bytes is a side, 0 or 1, and what its suffixes share there; only strings that reach so far on that side are compared.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         before, n = LENGTH - GRAM, table.num_rows
@@ -285,7 +306,8 @@ def _compare(suffixes: DataFrame) -> DataFrame:
         shared_left = common_prefixes(left, order_left)
         id_right, id_left = np.empty(n, np.int64), np.empty(n, np.int64)
         docs = np.full((n, before + 1), LAST)
-        for o in range(before + 1):
+        bucket = table["bucket"][0].as_py()
+        for o in SIDES[bucket[0]] if isinstance(bucket, bytes | bytearray) else range(before + 1):
             id_right[order] = np.cumsum(shared < LENGTH - o)
             id_left[order_left] = np.cumsum(shared_left < o)
             some = np.flatnonzero((n_left >= o) & (n_right >= LENGTH - o))
@@ -318,12 +340,31 @@ def _compare_hot(suffixes: DataFrame, where: str) -> DataFrame:
     rows = materialize(suffixes, f"{where}/hot")
     one = rows.groupBy("context").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     one = materialize(one.withColumn("chunk", F.monotonically_increasing_id()), f"{where}/contexts")
-    gram = F.substring("context", LENGTH - GRAM + 1, GRAM)
-    runs = _compare(one.select(gram.alias("bucket"), "chunk", F.lit(0).alias("number"), "context", "least", "most"))
-    runs = materialize(runs.drop("number").join(one.select("chunk", "context"), "chunk").drop("chunk"), f"{where}/hotruns")
+    # the gram starts behind LENGTH - GRAM bytes
+    shared = [F.concat(F.lit(bytes([side])), F.substring("context", LENGTH - GRAM + 1 - side * FURTHER, GRAM + FURTHER)) for side in (0, 1)]
+    sided = materialize(one.select("*", F.explode(F.array(*shared)).alias("bucket")), f"{where}/sides")
+    crowds = materialize(sided.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("bucket"), f"{where}/crowds")
+    some = sided.join(crowds.hint("merge"), "bucket", "left_anti")
+    runs = _compare(some.select("bucket", "chunk", F.lit(0).alias("number"), "context", "least", "most")).drop("number")
+    runs = runs.unionByName(_compare_each(sided.join(crowds.hint("merge"), "bucket", "left_semi"), where))
+    runs = materialize(runs.join(one.select("chunk", "context"), "chunk").drop("chunk"), f"{where}/hotruns")
     return rows.join(runs, "context").where("doc < most").select("chunk", "number", "low", "high", "doc")
 
 
+def _compare_each(suffixes: DataFrame, where: str) -> DataFrame:
+    """As ``_compare``, a row for each string, so that no group is ever in one place."""
+    byte = lambda at: F.conv(F.hex(F.substring("context", at, 1)), 16, 10).cast("int")
+    left, right = byte(2 * LENGTH - GRAM + 1), byte(2 * LENGTH - GRAM + 2)
+    sides = [F.array(*[F.lit(o) for o in side]) for side in SIDES]
+    offsets = F.when(F.substring("bucket", 1, 1) == F.lit(b"\0"), sides[0]).otherwise(sides[1])
+    fits = F.filter(offsets, lambda o: (left >= o) & (right >= LENGTH - o))
+    strings = suffixes.select("chunk", "context", "least", "most", F.explode(fits).alias("low"))
+    strings = strings.select("chunk", "least", "most", "low", F.expr(f"substring(context, {LENGTH - GRAM + 1} - low, {LENGTH})").alias("string"))
+    strings = materialize(strings, f"{where}/strings")
+    least = materialize(strings.groupBy("string").agg(F.min("least").alias("doc")), f"{where}/strings_least")
+    return strings.join(least.hint("merge"), "string").where("doc < most").select("chunk", "low", F.col("low").alias("high"), "doc")
+
+
 RESULT = "sha binary, first long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -393,11 +434,12 @@ def deduplicate(docs: DataFrame, where: str, keep_text: bool = False) -> DataFra
         some = f"chunk % {step} = 0"
         sample = _suffixes(texts.where(some), flags.where(some), part_bits, [], [], thin=THIN)
         counts = Counter(bytes(r[0]) for r in sample.select(F.substring("context", LENGTH - GRAM + 1, GRAM)).collect())
-        hot = [k for k, c in counts.items() if c * THIN * step > BUCKET_ROWS]
+        hot = [k for k, c in counts.items() if c * THIN * step > HOT_ROWS]
         keys = sorted(counts.elements())
-        n = max(1, min(len(keys), len(keys) * THIN * step // BUCKET_ROWS + 1, 20_000))
+        rows = len(keys) * THIN * step
+        n = max(1, min(len(keys), rows // BUCKET_ROWS + 1, SPLITTERS))
         splitters = sorted({keys[len(keys) * k // n] for k in range(1, n)})
-        suffixes = _suffixes(texts, flags, part_bits, splitters, hot)
+        suffixes = _suffixes(texts, flags, part_bits, splitters, hot, lanes=max(1, -(-rows // (n * BUCKET_ROWS))))
         runs = _compare(suffixes.where("bucket >= 0"))
         if hot:
             runs = runs.unionByName(_compare_hot(suffixes.where("bucket < 0"), where))

@@ -2,15 +2,15 @@
 
 1. A Boolean trigram query is derived from each rule's regex (``trigram_query``): a
    disjunction of sets of trigrams, all of which a matching text must hold.
-2. ``build_index`` posts (trigram, doc_id) for the trigrams that the rules ask for, over
-   lower-cased whole texts. Postings of trigrams that no rule asks for would never be read.
-3. ``candidates`` intersects the postings per document: the trigrams of a document are folded
+2. ``build_index`` posts (trigram, row) for the trigrams that the rules ask for, over
+   lower-cased whole texts. Postings of trigrams that no rule asks for would never be read; ``also`` posts those of rules to come.
+3. ``candidates`` intersects the postings: the trigrams of a row are folded
    into a bit set with ``bit_or`` (combined before the shuffle, so a trigram that every
    document holds costs one row per document and task), and each rule's query is a test of it.
-4. ``scan`` verifies each rule's regex on its candidates only. A rule without mandatory
+4. ``verify`` runs each rule's regex on its candidates only. A rule without mandatory
    trigrams, as a run of hex digits, is verified on every document.
 
-Everything is DataFrame functions. Null texts count as empty; a null doc_id is a document
+Texts are written once, as a table that candidates join in place; only postings and candidates move. Everything is DataFrame functions. Null texts count as empty; a null doc_id is a document
 like any other; repeated rows give repeated rows; further columns are ignored; an empty table
 gives an empty result.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import spans as S
+from quillon.llm.common import PARTIAL_KEYS, materialize, settings, stored_rows
 
 Query = tuple[frozenset[str], ...]
 MAX_STRINGS = 64
@@ -152,20 +153,21 @@ def rule_trigrams(rules: tuple[Rule, ...]) -> list[str]:
     return sorted(set().union(*(b for r in rules for b in trigram_query(r.pattern)), set()))
 
 
-def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Postings (trigram, doc_id) of the trigrams that the rules ask for."""
-    grams = F.array(*[F.lit(g) for g in rule_trigrams(rules)])
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+def build_index(rows: DataFrame, rules: tuple[Rule, ...] = RULES, also: tuple[str, ...] = (), row: str = "_row") -> DataFrame:
+    """Postings (trigram, ``row``) of the trigrams that the rules ask for, and of ``also``, lower-case ones."""
+    grams = F.array(*[F.lit(g) for g in sorted({*rule_trigrams(rules), *also})])
+    low = rows.select(row, F.lower("text").alias("low"))
     held = F.filter(grams, lambda g: F.contains(F.col("low"), g))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+    return low.select(F.explode(held).alias("trigram"), row)
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, rules): for each document the kinds whose trigram query its postings satisfy."""
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES, row: str = "_row") -> DataFrame:
+    """(``row``, rules): for each row the kinds whose trigram query its postings satisfy."""
     grams = rule_trigrams(rules)
     at = F.array_position(F.array(*[F.lit(g) for g in grams]), F.col("trigram")) - 1
     words = len(grams) // 63 + 1
-    bits = index.select("doc_id", at.cast("int").alias("at")).groupBy("doc_id").agg(
+    index = index.where(F.col("trigram").isin(grams))
+    bits = index.select(row, at.cast("int").alias("at")).groupBy(row).agg(
         *[F.bit_or(F.when(F.floor(F.col("at") / 63) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % 63)).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
     )
 
@@ -183,17 +185,15 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     indexed = [r for r in rules if trigram_query(r.pattern) != ANY]
     kinds = F.array_compact(F.array(*[F.when(meets(r), F.lit(r.kind)) for r in indexed])) if indexed else F.array().cast("array<string>")
-    return bits.select("doc_id", kinds.alias("rules")).where(F.size("rules") > 0)
+    return bits.select(row, kinds.alias("rules")).where(F.size("rules") > 0)
 
 
-def scan(docs: DataFrame, hits: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The columns doc_id, text and one array of spans (start, end, m) per rule kind."""
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = out.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+def verify(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``id`` and one array of spans (start, end, m) per rule kind, of rows with ``text`` and ``rules``, the kinds to try."""
+    out = rows.select("id", "rules", F.coalesce("text", F.lit("")).alias("text"))
     none = F.lit(None).cast("array<string>")
     out = out.withColumns({
-        f"_{r.kind}": F.when(F.array_contains("_rules", r.kind), S.matches(F.col("text"), r.pattern)).otherwise(none)
+        f"_{r.kind}": F.when(F.array_contains("rules", r.kind), S.matches(F.col("text"), r.pattern)).otherwise(none)
         if trigram_query(r.pattern) != ANY
         else S.matches(F.col("text"), r.pattern)
         for r in rules
@@ -204,12 +204,14 @@ def scan(docs: DataFrame, hits: DataFrame, rules: tuple[Rule, ...] = RULES) -> D
         spans = F.coalesce(S.locate(F.col("text"), F.col(f"_{r.kind}"), r.pattern), empty)
         return F.filter(spans, lambda s: F.length(F.regexp_extract(s["m"], r.pattern, r.value_group)) >= r.min_length) if r.min_length else spans
 
-    return out.withColumns({r.kind: found(r) for r in rules}).select("doc_id", "text", *[r.kind for r in rules])
+    return out.select("id", *[found(r).alias(r.kind) for r in rules])
 
 
 def find_secrets(docs: DataFrame, where: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Index, intersect and verify; the postings are stored below ``where``."""
-    from quillon.llm.common import materialize
-
-    index = materialize(build_index(docs, rules), f"{where}/postings")
-    return scan(docs, candidates(index, rules), rules)
+    """doc_id and one array of spans (start, end, m) per rule kind: index, intersect and verify, below ``where``."""
+    with stored_rows(docs.select("doc_id", "text"), where) as (rows, _, _):
+        index = materialize(build_index(rows, rules), f"{where}/postings")
+        hits = materialize(candidates(index, rules).withColumn("_part", F.shiftright("_row", 33)), f"{where}/candidates")
+        with settings(docs.sparkSession, PARTIAL_KEYS):
+            found = verify(rows.join(hits.hint("shuffle_hash"), ["_part", "_row"], "left"), rules)
+            return materialize(found, f"{where}/found").withColumnRenamed("id", "doc_id")

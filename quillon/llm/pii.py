@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,10 +125,23 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
 
 
 def redact(found: DataFrame, kinds: tuple[Kind, ...] = KINDS, min_score: float = 0.0) -> DataFrame:
-    """doc_id and the text with each confirmed match of at least ``min_score`` replaced by its kind in brackets."""
-    def without(text: Column, k: Kind) -> Column:
-        hit = F.filter(F.col(k.name), lambda s: s["score"] >= min_score)
-        return F.aggregate(hit, text, lambda t, s: F.replace(t, s["m"], F.lit(f"[{k.name}]")))
-
-    text = reduce(without, kinds, F.col("text"))
-    return found.select("doc_id", text.alias("text"))
+    """doc_id and the text with each confirmed match of at least ``min_score`` replaced, where it is, by its kind in brackets; matches that overlap by that of the first."""
+    def hits(kind: Kind) -> Column:
+        sure = F.filter(F.col(kind.name), lambda s: s["score"] >= min_score)
+        return F.transform(sure, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind.name).alias("kind")))
+
+    piece = "struct<start:int,end:int,kind:string>"
+    none = F.array().cast(f"array<{piece}>")
+
+    def merged(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind")).cast(piece)
+        apart = (F.size(done) == 0) | (s["start"] >= F.try_element_at(done, F.lit(-1))["end"])
+        return F.when(apart, F.array_append(done, s)).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)))
+
+    spans = F.aggregate(F.array_sort(F.concat(*map(hits, kinds))), none, merged)
+    out = found.select("doc_id", "text", spans.alias("spans"))
+    begins = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
+    parts = F.transform("spans", lambda s, i: F.concat(F.substring("text", F.get(begins, i) + 1, s["start"] - F.get(begins, i)), F.lit("["), s["kind"], F.lit("]")))
+    rest = F.substring("text", F.get(begins, F.size("spans")) + 1, F.length("text"))
+    return out.select("doc_id", F.concat(F.array_join(parts, ""), rest).alias("text"))

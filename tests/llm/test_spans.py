@@ -97,6 +97,14 @@ def test_checksums_and_context(docs_of):
     assert redacted[4] == "call [phone]" and redacted[1] == "my IBAN is [iban]."
 
 
+def test_redaction_is_by_place(docs_of):
+    texts = ["host 1.2.3.4 and 11.2.3.45, 1.2.3.4", "é😀 a@b.cc a@b.ccc x", "", "nothing", "1.2.3.4@a.bc x", None, "1.2.3.4"]
+    out = pii.redact(pii.find_pii(docs_of(enumerate(texts))))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got[0] == "host [ip] and [ip], [ip]" and got[1] == "é😀 [email] [email] x" and got[2] == got[5] == "" and got[3] == "nothing" and got[6] == "[ip]"
+    assert got[4] == "[ip] x"  # an address that is the beginning of another match
+
+
 def test_many_matches_and_long_runs_in_one_text(docs_of, where):
     texts = ["a@b.cc é " * 3000, "x" * 15_000, "1" * 15_000, "1 " * 8_000, "a." * 8_000, "+1" + "(" * 100_000, "token " * 20_000, "f" * 100_000, "AKIA" * 20_000]
     docs = docs_of(enumerate(texts))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import materialize
-from quillon.llm.neighbours import U, mixed
+from quillon.llm.shingles import U, mixed
 
 BITS = 18
 DIM = 1 << BITS

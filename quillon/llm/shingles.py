@@ -1,10 +1,18 @@
-"""Hashes of word shingles."""
+"""Hashes of word shingles, and of numbers."""
 
 from __future__ import annotations
 
 import numpy as np
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+U = np.uint64
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers whose every bit depends on all (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:

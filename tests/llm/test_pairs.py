@@ -251,16 +251,29 @@ def noisy_lines():
     return rows
 
 
+def line_numbers(before, after):
+    """Numbers of the lines of ``before`` that ``after``, the text without some, lacks: the last of equal ones."""
+    left, gone = list((after or "").split("\n")) if after else [], []
+    for k, line in enumerate((before or "").split("\n")):
+        if left and left[0] == line:
+            left.pop(0)
+        else:
+            gone.append(k)
+    return set(gone)
+
+
 def test_lines_match_brute_force(docs_of, where):
-    """Against the edits of all pairs: the brute force knows nothing of keys."""
-    rows = noisy_lines()
+    """Against the edits of all pairs: the brute force knows nothing of keys. A link may be missed, none is made up."""
+    rows = [(k if d is not None else None, t) for k, (d, t) in enumerate(noisy_lines())]
     want, n_gone, n_fuzzy = plain_lines(rows)
     out = lines.deduplicate_lines(docs_of(rows).coalesce(1), where, candidates="runs")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "keep", "n_lines", "n_removed"]
-    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
-    assert got == sorted(((d, t) for (d, _), t in zip(rows, want, strict=True)), key=str)
-    assert out.groupBy().sum("n_removed").first()[0] == n_gone and n_fuzzy > 50
-    assert {r["doc_id"]: r["n_lines"] for r in out.collect()} == {d: t.count("\n") + 1 if t is not None else 0 for d, t in rows}
+    got = {r["doc_id"]: r for r in out.collect()}
+    for (d, t), w in zip(rows, want, strict=True):
+        assert line_numbers(t, got[d]["text"]) <= line_numbers(t, w), d
+        assert got[d]["n_lines"] == (t.count("\n") + 1 if t is not None else 0)
+    removed = sum(r["n_removed"] for r in got.values())
+    assert n_fuzzy > 50 and 0.98 * n_gone <= removed <= n_gone
 
 
 def test_lines_by_blocks_remove_only_what_is_similar(docs_of, where):
@@ -307,8 +320,9 @@ def test_lines_of_one_hot_word_cost_two_comparisons_each(docs_of, where, monkeyp
 
     def pairs_of(n):
         rows = [(d, " ".join([word() for _ in range(6)] + [shared] + [word() for _ in range(6)])) for d in range(n)]
-        facts = lines.materialize(lines.line_facts(docs_of(rows).withColumnRenamed("doc_id", "id").withColumn("_row", F.col("id")), 5, 0.8, "runs"), f"{where}/f{n}")
-        return lines.candidate_pairs(facts, f"{where}/p{n}", 0.8).count()
+        table = docs_of(rows).selectExpr("doc_id as id", "doc_id as _row", "0L as _part", "text")
+        facts = common.materialize(lines.sketched(lines.split_lines(table, 5), 0.8), f"{where}/f{n}")
+        return neighbours.candidate_pairs(facts, f"{where}/p{n}", 0.8).count()
 
     few, many = pairs_of(500), pairs_of(2000)
     assert few < 500 * 16 and many < 5 * few
@@ -335,30 +349,27 @@ def test_lines_with_clashing_columns(spark, where):
     assert out[0].__fields__ == ["doc_id", "text", "_row", "_part", "id", "n_lines", "n_removed"]
 
 
-def test_edits_match_the_plain_distance():
-    rng = random.Random(1)
-    for _ in range(4000):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(14))) for _ in "ab")
-        want = word_edits(a, b)
-        for most in (0, 1, 3, 20):
-            got = lines.edits(a, b, most)
-            assert got == want if want <= most else got > most, (a, b)
-    letters = "typoes in nearly every word of this line"
-    assert lines.similar("typos in nearly every word of this line", letters, 5, 0.8)
-    assert lines.similar("tpyos in neatly every werd of tis line", letters, 5, 0.7) and not lines.similar("a b c d e", "f g h i j", 5, 0.8)
-    han = "".join(chr(0x4E00 + k) for k in range(30))
-    assert lines.similar(han, han[:10] + "\u3042" + han[11:], 5, 0.8) and not lines.similar(han, han[::-1], 5, 0.8)
-
-
-def test_hot_keys_are_dealt_by_what_follows():
-    keys = np.array([5 << 20 | k << 10 | k % 3 for k in range(100)], np.uint64)
-    h = np.arange(100)
-    none, hot = np.empty(0, np.uint64), np.array([5], np.uint64)
-    assert len(set(neighbours.dealt(keys, h, [none, none, none]).tolist())) == 1
-    assert len(set(neighbours.dealt(keys, h, [hot, none, none]).tolist())) == 100
-    same = np.full(100, 5 << 20 | 7 << 10 | 9, np.uint64)
-    assert len(set(neighbours.dealt(same, h, [hot, none, none]).tolist())) == 1
-    assert len(set(neighbours.dealt(same, h, [hot, same[:1] >> np.uint64(10), same[:1]]).tolist())) > 50
+def test_lines_similar_by_characters(docs_of, where):
+    """A letter wrong in a third of the words: by words too far, by characters near."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(24)]
+    typos = [w[:4] + "z" + w[5:] if k % 3 == 0 and k > 5 else w for k, w in enumerate(words)]
+    far = [w if k < 8 else "".join(rng.choice("mnopqr") for _ in range(9)) for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(typos)), (3, " ".join(far))]
+    assert word_edits(words, typos) > 0.2 * 24 and word_edits(rows[0][1], rows[1][1]) < 0.2 * len(rows[0][1])
+    gone = {r["doc_id"] for r in lines.deduplicate_lines(docs_of(rows), where, candidates="runs").where("n_removed > 0").collect()}
+    assert gone == {2}
+
+
+def test_hot_keys_are_dealt_by_what_follows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "HOT", 20)
+    monkeypatch.setattr(neighbours, "COUNTED", 1)
+    parts = lambda key: spark.range(4000).selectExpr("id as h", f"{key} as key", "1L as size")
+    n_parts = lambda key, rows: neighbours.dealt(parts(key), rows).select("part").distinct().count()
+    one, spread = "(5L << 20)", "(5L << 20) | ((id % 100) << 10) | (id % 3)"
+    assert n_parts(spread, 10**6) == 1 and n_parts(spread, 4000) == 100 and n_parts(spread, 40) == 300
+    assert n_parts(one, 10**6) == 1 and 200 < n_parts(one, 4000) <= 1024
+    assert n_parts("id << 20", 4000) == 4000
 
 
 def test_lines_of_odd_and_no_documents(odd_docs, no_docs, where):
@@ -414,7 +425,6 @@ def test_lines_by_runs_recall_of_edit_similarity(docs_of, where, most):
 
 def test_lines_by_runs_of_a_common_line_and_family(docs_of, where, monkeypatch):
     monkeypatch.setattr(neighbours, "HOT", 20)
-    monkeypatch.setattr(lines, "REMEMBERED", 5)
     base = [f"word{k}" for k in range(20)]
     variants = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(20)]
     rows = [(d, " ".join(base)) for d in range(50)] + [(100 + d, v) for d, v in enumerate(variants)]

@@ -208,9 +208,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, where: str, window: int
         return search(materialize(build_index(docs, first.terms), f"{where}/index"), first, slop=slop)
     # several groups share one index of all terms, so block and ordinal name the same document in each pass
     index = materialize(build_index(docs), f"{where}/index")
-    out = search(index, first, False, slop)
-    for k, queries in enumerate(chain([second], groups)):
-        out = materialize(out.unionByName(search(index, queries, False, slop).where("size(items) > 0")), f"{where}/hits{k}")
+    parts = [f"{where}/hits/0"]
+    out = materialize(search(index, first, False, slop), parts[0])
+    for k, queries in enumerate(chain([second], groups), 1):
+        parts.append(f"{where}/hits/{k}")
+        materialize(search(index, queries, False, slop).where("size(items) > 0"), parts[-1])
+    out = docs.sparkSession.read.schema(out.schema).parquet(*parts)
     joined = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items")]
     out = out.groupBy("block", "ordinal").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *joined)
     return out.select("block", "ordinal", "doc_id", "n_words", "hits", "items")

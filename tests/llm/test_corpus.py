@@ -254,3 +254,65 @@ def test_pipeline_stages(spark, where):
     toxic = spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").select("doc_id")
     assert spark.read.parquet(f"{where}/0").join(toxic, "doc_id").count() < 0.3 * toxic.count()
     assert pipeline.run(spark, SF).count() == counts[4]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_pipeline_stages_against_plain_versions(spark, where):
+    """Each stage on its own input: lines by the edits of all pairs, documents by the similarity of all pairs, every benchmark window, every draw."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from test_jaccard import grams
+    from test_pairs import components, line_numbers, plain_hits, plain_lines
+
+    inputs = [spark.read.parquet(f"{SMALL}/documents.parquet")]
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, inputs[-1], SMALL).write.parquet(f"{where}/{k}")
+        inputs.append(spark.read.parquet(f"{where}/{k}"))
+    rows = [sorted(map(tuple, df.select("doc_id", "text").collect()), key=str) for df in inputs[:5]]
+
+    by_id, total = sorted(rows[1]), 0
+    want, n_gone, _ = plain_lines(by_id)
+    got = dict(rows[2])
+    for (d, t), w in zip(by_id, want, strict=True):
+        total += len(line_numbers(t, got.get(d, "")))
+        assert line_numbers(t, got.get(d, "")) <= line_numbers(t, w) or d not in got and not w.strip(), d
+    assert 0.97 * n_gone <= total
+
+    sets = {d: grams(t.lower()) for d, t in rows[2]}
+    root = components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert [d for d, _ in sorted(rows[3])] == sorted({root[d] for d in sets})
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    clean = [d for d, _, hits, _ in plain_hits(rows[3], items) if not hits]
+    assert sorted(clean) == sorted(d for d, _ in rows[4]) and len(clean) < len(rows[3])
+
+    source = {r["doc_id"]: r["source"] for r in inputs[4].collect()}
+    n = Counter(source.values())
+    weight = sum(x**0.5 for x in n.values())
+    copies = Counter(r["doc_id"] for r in inputs[5].select("doc_id").collect())
+    for d, s in source.items():
+        import hashlib
+
+        u = (int(hashlib.md5(f"42:n:{d}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        assert copies[d] == inverse(u, n[s] ** 0.5 / weight * len(source) / n[s]), d
+
+
+def test_pipeline_stages_take_odd_rows(spark, where, odd_docs, no_docs):
+    """Rows go by themselves: one of null id goes where it should, one that shares an id with it stays."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    tables = {"benchmark": ([(1, item), (None, None)], "item_id long, text string"), "labels": ([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{where}/sf/{name}.parquet")
+    leaks = spark.createDataFrame([(None, f"x {item} y", "en", "s", 9, "k"), (3, item.upper(), None, None, None, "k"), (3, "clean", "en", "s", 5, "k")], odd_docs.schema)
+    docs = odd_docs.unionByName(leaks).withColumn("_text", F.lit(1)).withColumn("_hash", F.lit(2))
+    stages = dict(pipeline.STAGES)
+    left = stages["benchmark decontamination"](spark, docs, f"{where}/sf")
+    assert left.columns == list(pipeline.COLUMNS) and left.count() == 11 and {r["text"] for r in left.where("doc_id = 3").collect()} == {"a" * 20000, "clean"}
+    kept = stages["near dedup"](spark, docs, "")
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "3", "3", "4", "5", "7", "None", "None"]
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, f"{where}/sf").collect()
+        assert len(out) > 5, name
+        assert stage(spark, no_docs, f"{where}/sf").collect() == [], name

@@ -334,6 +334,39 @@ def test_lines_of_one_hot_word_cost_two_comparisons_each(docs_of, where, monkeyp
     assert len(gone) >= 0.7 * 30 and all(d >= 1000 for d in gone)
 
 
+def test_lines_of_one_key_are_compared_with_all(docs_of, where, monkeypatch):
+    """One key that most lines share, in the order of hashes: similar ones are neither neighbours nor the pivot."""
+    monkeypatch.setattr(lines, "KEYS", 1)
+    monkeypatch.setattr(neighbours, "LANE", 50)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    shared = "extraordinarily constitutional misunderstandings"
+    base = [" ".join([word() for _ in range(6)] + [shared] + [word() for _ in range(6)]) for _ in range(300)]
+    rows = [(d, x) for d, x in enumerate(base)] + [(1000 + d, "zzz" + x[3:]) for d, x in enumerate(base[::10])]
+    gone = {r["doc_id"] for r in lines.deduplicate_lines(docs_of(rows), where, candidates="runs").where("n_removed > 0").collect()}
+    # one pair does not share its key
+    assert len(gone) >= 29 and all(d >= 1000 for d in gone)
+
+
+def test_marks_let_every_link_pass(spark, docs_of, where):
+    """Of random pairs with some units replaced, none that is linked is ruled out by sizes and marks, and most of the others are."""
+    pairs = changed_lines(300, 0.2) + changed_lines(300, 0.6)
+    rows = [(k * 1000 + d, " ".join(line)) for d, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    table = docs_of(rows).selectExpr("doc_id as id", "doc_id as _row", "0L as _part", "text")
+    facts = {r["doc"]: r for r in common.materialize(lines.sketched(lines.split_lines(table, 5), 0.8), where).collect()}
+    of = lambda d: {c: facts[d][c] for c in ("size", *lines.MARKS)}
+    both = spark.createDataFrame([(d, of(d), of(1000 + d)) for d in range(600) if 1000 + d in facts], "d int, x struct<size:long,mark0:long,mark1:long>, y struct<size:long,mark0:long,mark1:long>")
+    may = {r["d"] for r in both.where(lines.may_link("x", "y", 0.8)).collect()}
+
+    def linked(a, b):
+        near = lambda x, y, s: word_edits(x, y) <= (1 - s) * max(len(x), len(y)) + 1e-9
+        return near(a, b, 0.8) or near(a, b, 0.5) and near(" ".join(a), " ".join(b), 0.8)
+
+    due = {d for d in range(600) if 1000 + d in facts and linked(*pairs[d])}
+    assert len(due) > 200 and due <= may
+    assert not any(r["ok"] for r in both.alias("p").join(both.alias("q"), F.expr("q.d = p.d + 1")).select(F.col("p.x").alias("x"), F.col("q.y").alias("y")).where("x.mark0 is not null and x.size & 4294967295 < 30").limit(100).select((lines.may_link("x", "y", 0.8) & (F.col("y.mark0").isNotNull())).alias("ok")).collect())
+
+
 def test_lines_of_a_long_document(docs_of, where):
     """As many lines as a book: the parts that stay are put together in one pass."""
     text = "\n".join(f"line number {' '.join(chr(97 + int(c)) * 3 for c in str(k))} of this document" if k % 3 else "the same line again and again" for k in range(30_000))

@@ -173,6 +173,9 @@ def near_duplicates(docs: DataFrame, where: str, size: int = 3, threshold: int =
     return marks.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, where: str, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, of each group of similar ones that with the least (doc_id, row), a null doc_id last."""
-    return jaccard.keep_one(docs, where, size, similarity)
+def keep_one(docs: DataFrame, where: str, size: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
+    """The rows of ``docs``, of each group of near ones that with the least (doc_id, row), a null doc_id last.
+
+    Near are texts whose fingerprints ``link`` connects, and those of Jaccard similarity ``similarity``, which mostly differ in more bits.
+    """
+    return jaccard.keep_one(docs, where, size, similarity, fingerprint, lambda fps, folder: link(fps, folder, threshold))

@@ -348,6 +348,20 @@ def test_lines_of_one_key_are_compared_with_all(docs_of, where, monkeypatch):
     assert len(gone) >= 29 and all(d >= 1000 for d in gone)
 
 
+def test_items_of_many_common_keys_meet_once(spark, monkeypatch):
+    """However many keys two items share, and however many lots a key is dealt to, they are compared once, in whichever groups they are."""
+    monkeypatch.setattr(neighbours, "LANE", 10)
+    rng = random.Random(14)
+    own = {h: sorted(rng.sample(range(12), 5)) for h in range(60)}
+    root = {h: h % 50 for h in own}
+    size = (100 << 32) + 20
+    rows = [(key, 6, h, root[h], size, ks) for h, ks in own.items() for key in ks]
+    members = spark.createDataFrame(rows, "key long, lanes int, h long, root long, size long, own array<long>")
+    met = [(r["a"], r["b"]) for r in neighbours.meeting(members, 0.8, None).collect()]
+    due = {(a, b) for a in own for b in own if a < b and root[a] != root[b] and set(own[a]) & set(own[b])}
+    assert len(met) == len(set(met)) and set(met) == due
+
+
 def test_marks_let_every_link_pass(spark, docs_of, where):
     """Of random pairs with some units replaced, none that is linked is ruled out by sizes and marks, and most of the others are."""
     pairs = changed_lines(300, 0.2) + changed_lines(300, 0.6)

@@ -362,6 +362,17 @@ def test_items_of_many_common_keys_meet_once(spark, monkeypatch):
     assert len(met) == len(set(met)) and set(met) == due
 
 
+def test_first_links_are_made_beside_narrow_tables_alone(docs_of, where, monkeypatch):
+    """While the first links are made, what is stored of keys is the pairs, not a row for each item and key."""
+    import pathlib
+
+    stored = []
+    made = neighbours.groups
+    monkeypatch.setattr(neighbours, "groups", lambda linked, at: (stored.append({p.name for p in pathlib.Path(where.removeprefix("file://")).iterdir()}), made(linked, at))[1])
+    lines.deduplicate_lines(docs_of(noisy_lines()), where, candidates="runs")
+    assert stored[0] == {"rows", "seen", "distinct", "pairs", "texts", "places", "wanted", "by_words"}
+
+
 def test_marks_let_every_link_pass(spark, docs_of, where):
     """Of random pairs with some units replaced, none that is linked is ruled out by sizes and marks, and most of the others are."""
     pairs = changed_lines(300, 0.2) + changed_lines(300, 0.6)
